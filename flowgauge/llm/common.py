@@ -93,6 +93,18 @@ class Recent(dict):
         return new
 
 
+def filter_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[dict[str, list]], list[bool]]]) -> DataFrame:
+    """The rows of ``df``, with all its columns, for which the verdict on ``columns`` is true."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        verdict = make()
+        for batch in batches:
+            yield batch.filter(pa.array(verdict({c: batch.column(c).to_pylist() for c in columns}), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

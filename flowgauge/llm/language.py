@@ -15,15 +15,17 @@ languages are not learned; repeated rows are predicted each; other columns are i
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import map_rows
+from flowgauge.llm.common import filter_rows, map_rows
 
 SPACE = "▁"
 UNKNOWN = "und"
@@ -164,7 +166,7 @@ class Predictor:
 
     def _learn(self, words: set[str]) -> None:
         new = list(words.difference(self.at))
-        if len(self.at) + len(new) > CACHE and self.at:
+        if len(self.at) + len(new) > CACHE and self.at:  # as before, but for this batch
             self.at = {}
             new = list(words)
         lo, hi = len(self.at), len(self.at) + len(new)
@@ -191,6 +193,23 @@ class Predictor:
         return out
 
 
+@lru_cache(maxsize=1)
+def vocabulary_of(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
+_kept: dict[bytes, Predictor] = {}
+
+
+def predictor(model: Model, vocabulary: str) -> Predictor:
+    """A Python worker keeps what it knows of words, of the last model, from task to task."""
+    key = hashlib.sha256(repr((model.languages, vocabulary)).encode() + model.p.tobytes()).digest()
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Predictor(model, vocabulary_of(vocabulary))
+    return _kept[key]
+
+
 def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, list[str]]:
     """Whole texts by language, at most ``per_language`` each; reads texts of the chosen ids only."""
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -207,26 +226,35 @@ def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[st
 
 
 def train(docs: DataFrame, vocabulary: str, per_language: int = PER_LANGUAGE) -> Model:
-    return learn(training_texts(docs, per_language), Vocabulary(vocabulary))
+    return learn(training_texts(docs, per_language), vocabulary_of(vocabulary))
 
 
-def identify(docs: DataFrame, model: Model, vocabulary: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred and score of every row; ``extra`` columns are carried along."""
+def identify(docs: DataFrame, model: Model, vocabulary: str) -> DataFrame:
+    """doc_id, lang_pred and score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the size of the vocabulary times the languages
 
     def make():
-        predictor = Predictor(shared.value, Vocabulary(vocabulary))
+        known = predictor(shared.value, vocabulary)
 
         def step(cols):
-            got = predictor.predict(cols["text"])
-            return {k: cols[k] for k in ("doc_id", *extra)} | {"lang_pred": [x for x, _ in got], "score": [s for _, s in got]}
+            got = known.predict(cols["text"])
+            return {"doc_id": cols["doc_id"], "lang_pred": [x for x, _ in got], "score": [s for _, s in got]}
 
         return step
 
-    kinds = dict(docs.dtypes)
-    carried = "".join(f"`{c}` {kinds[c]}, " for c in extra)
-    cols = [F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c) for c in extra if c != "text")]
-    return map_rows(docs.select(*cols, F.col("text").cast("string").alias("text")), f"doc_id long, {carried}lang_pred string, score double", make)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_rows(rows, "doc_id long, lang_pred string, score double", make)
+
+
+def keep_known(docs: DataFrame, model: Model, vocabulary: str) -> DataFrame:
+    """The rows of ``docs`` in a learned language, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        known = predictor(shared.value, vocabulary)
+        return lambda cols: [lang != UNKNOWN for lang, _ in known.predict(cols["text"])]
+
+    return filter_rows(docs, ["text"], make)
 
 
 def held_out(doc_id: str):

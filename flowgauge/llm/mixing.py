@@ -9,7 +9,7 @@ Sizes are counted in characters, over all rows. Sources without a stated weight
 weight 1. Nulls and edge cases: a null source is a source of its own; null texts have size
 0; a source of size 0 has rate 0; a null doc_id hashes as an empty string; repeated rows
 draw the same count; an empty table gives an empty mixture; further columns are carried
-along, ``copy`` and ``order_key`` being reserved.
+along, but for ``copy``, ``order_key`` and names that begin with ``mix_``, which are replaced.
 """
 
 from __future__ import annotations
@@ -60,6 +60,8 @@ def source_rates(docs: DataFrame, weights: Mapping[str | None, float], size: flo
 def mix(docs: DataFrame, weights: Mapping[str | None, float], size: float | None = None, seed: int = 0) -> DataFrame:
     """The mixture of about ``size`` characters (as many as ``docs`` has, if None): the columns of
     ``docs``, the number of the ``copy`` and the ``order_key`` by which rows are sorted."""
+    columns = [c for c in docs.columns if c.lower() not in ("copy", "order_key") and not c.lower().startswith("mix_")]
+    docs = docs.select(columns)
     rates = source_rates(docs, weights, size)
     few = len(rates.select("source").limit(BROADCAST_SOURCES + 1).collect()) <= BROADCAST_SOURCES
     if few:
@@ -73,7 +75,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float], size: float | None
     count = F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter("mix_cdf", lambda c: c <= u)))
     copies = joined.withColumn("mix_n", count).where("mix_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_n").cast("long"))))
     order = F.substring(F.md5(F.concat_ws(":", F.lit(f"order {seed}"), key, F.col("copy").cast("string"))), 1, 16)
-    return copies.select(*docs.columns, "copy", order.alias("order_key")).orderBy("order_key", "doc_id", "copy")
+    return copies.select(*columns, "copy", order.alias("order_key")).orderBy("order_key", "doc_id", "copy")
 
 
 def oracle(weights: Mapping[str, float], seed: int, table: str = "documents") -> str:

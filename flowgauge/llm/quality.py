@@ -21,13 +21,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import map_rows
+from flowgauge.llm.common import filter_rows, map_rows
 
 #: A word of the base statistics.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
+UPPER = bytes(range(65, 91))
 WINDOW = 5
+#: The base rule: fewer words, or more percent of words in repeated windows, fail.
+LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Labelled documents that training uses at most.
 SAMPLE = 4000
 FEATURES = ["log_words", "word_len", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "exclaim_rate", "digit_rate", "distinct_rate", "words_per_line"]
@@ -74,9 +77,6 @@ def features(text: str | None) -> tuple[tuple[int, ...], list[float]]:
     ]
 
 
-UPPER = bytes(range(65, 91))
-
-
 @dataclass
 class Trees:
     """Node arrays of all trees; a leaf points to itself, so a walk of ``depth`` steps ends in one."""
@@ -196,23 +196,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     return fit(*training_set(docs, labels, sample))
 
 
-def judge(docs: DataFrame, model: Trees, threshold: float = 0.5, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Statistics and verdict per row; ``extra`` columns are carried along."""
+def verdicts(texts: list[str | None], model: Trees, threshold: float) -> dict[str, list]:
+    """The statistics, score and verdict of each text."""
+    got = [features(t) for t in texts]
+    score = model.score(np.array([x for _, x in got]).reshape(-1, len(FEATURES)))
+    n, chars, symbols, dup, repeat = ([b[k] for b, _ in got] for k in range(5))
+    failed = [w < LEAST_WORDS or 100 * r > MOST_REPEATED * w for w, r in zip(n, repeat, strict=True)]
+    kept = [not f and bool(s >= threshold) for f, s in zip(failed, score, strict=True)]
+    return {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "base_failed": failed, "score": score.tolist(), "kept": kept}
 
-    def make():
-        def step(cols):
-            got = [features(t) for t in cols["text"]]
-            score = model.score(np.array([x for _, x in got]).reshape(-1, len(FEATURES)))
-            n, chars, symbols, dup, repeat = ([b[k] for b, _ in got] for k in range(5))
-            failed = [w < 10 or 100 * r > 20 * w for w, r in zip(n, repeat, strict=True)]
-            kept = [not f and bool(s >= threshold) for f, s in zip(failed, score, strict=True)]
-            return {k: cols[k] for k in ("doc_id", *extra)} | {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "base_failed": failed, "score": score.tolist(), "kept": kept}
 
-        return step
+JUDGED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
+
+
+def judge(docs: DataFrame, model: Trees, threshold: float = 0.5) -> DataFrame:
+    """Statistics, score and verdict of each row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_rows(rows, JUDGED, lambda: lambda cols: {"doc_id": cols["doc_id"]} | verdicts(cols["text"], model, threshold))
+
 
-    kinds = dict(docs.dtypes)
-    carried = "".join(f"`{c}` {kinds[c]}, " for c in extra)
-    cols = [F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c) for c in extra if c != "text")]
-    rows = docs.select(*cols, F.col("text").cast("string").alias("text"))
-    schema = f"doc_id long, {carried}n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
-    return map_rows(rows, schema, make)
+def keep_good(docs: DataFrame, model: Trees, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    return filter_rows(docs, ["text"], lambda: lambda cols: verdicts(cols["text"], model, threshold)["kept"])

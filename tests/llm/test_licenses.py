@@ -1,0 +1,95 @@
+import math
+import re
+from collections import Counter
+
+import duckdb
+import pytest
+
+from flowgauge.llm import licenses
+
+FILES = [
+    ("LICENSE", "Released under the MIT License."), ("a.txt", "x\nnothing here"), ("lib/b.txt", None), ("lib/core/c.txt", "first. Licensed under the Apache License, Version 2.0. more words"),
+    ("lib/core/LICENSE.md", "This work is licensed under the GNU General Public License, version 3."), ("lib/core/deep/er/d.txt", ""), ("lib/corex/e.txt", "y"), (None, "z"), ("lib/core/d.txt", "the license of the mat"),
+    ("other/COPYING", "no license text"), ("other/f.txt", "f"), ("other/f.txt", "f"), ("/abs/g.txt", "SPDX-License-Identifier: MIT"), ("abs/LICENSE-MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("two/LICENSE", "Licensed under CC BY-NC 4.0"), ("two/COPYING", "Licensed under CC BY 4.0"), ("two/h.txt", "word " * 20_000 + "\n" + "Licensed under CC BY-NC 4.0."), ("lib/License_notes.txt", "Released under the MIT License"),
+]
+
+
+def cosines(model, statement):
+    """All templates, without the search for heavy terms."""
+    tf = Counter(t for t in re.split(licenses.TERM, statement) if t)
+    w = {t: n * model.idf.get(t, model.rare) for t, n in tf.items()}
+    norm = math.sqrt(sum(x * x for x in w.values()))
+    out = {}
+    for k, t, x in model.weights:
+        if norm:
+            out[k] = out.get(k, 0.0) + w.get(t, 0.0) * x / norm
+    return {k: round(s, 6) for k, s in out.items()}
+
+
+def brute(model):
+    own = {}
+    for path, text in FILES:
+        for statement in re.split(licenses.STATEMENT, (text or "").lower()):
+            for k, s in cosines(model, statement).items():
+                if s >= model.threshold:
+                    best = (-s, model.templates[k][0])
+                    own[path or ""] = min(own.get(path or "", best), best)
+    given = {}
+    for path, best in own.items():
+        folder, _, name = path.rpartition("/")
+        if re.match(licenses.LICENCE_FILE, name):
+            given[folder] = min(given.get(folder, best), best)
+    out = []
+    for path, _ in FILES:
+        path = path or ""
+        if path in own:
+            out.append((path, own[path][1], -own[path][0], "own"))
+            continue
+        folder = path.rpartition("/")[0]
+        while folder not in given and folder:
+            folder = folder.rpartition("/")[0]
+        out.append((path, given[folder][1] if folder in given else None, None, "/" + folder if folder in given else None))
+    return sorted(out, key=repr)
+
+
+def test_as_brute_force(spark):
+    df = spark.createDataFrame(FILES, "path string, text string").selectExpr("*", "'z' as folder", "'z' as statement", "'z' as license").repartition(3)
+    model = licenses.Model()
+    assert sorted(map(tuple, licenses.scan(df, model).collect()), key=repr) == brute(model)
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_inheritance_by_hand(spark):
+    df = spark.createDataFrame(FILES, "path string, text string")
+    got = {r.path: (r.license, r.origin) for r in licenses.scan(df).collect()}
+    assert got["lib/core/c.txt"] == ("Apache-2.0", "own") and got["lib/core/deep/er/d.txt"] == ("GPL-3.0", "/lib/core")
+    assert got["lib/corex/e.txt"] == ("MIT", "/") and got["other/f.txt"] == ("MIT", "/") and got["two/h.txt"] == ("CC-BY-NC-4.0", "own")
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9])
+def test_heavy_terms_miss_nothing(threshold):
+    model = licenses.Model(threshold=threshold)
+    texts = [t.lower() for _, t in licenses.TEMPLATES]
+    words = sorted({w for t in texts for w in t.split()})
+    for k, t in enumerate(texts):
+        own = t.split()
+        for drop in range(len(own)):
+            for add in (0, 1, 3):
+                statement = " ".join(own[:drop] + own[drop + 1 :] + words[k : k + add])
+                if max(cosines(model, statement).values()) >= threshold:
+                    assert re.search(model.pattern, statement)
+
+
+def test_sql(spark):
+    model = licenses.Model()
+    c = duckdb.connect()
+    c.execute("CREATE TABLE f (doc_id BIGINT, path VARCHAR, text VARCHAR)")
+    c.executemany("INSERT INTO f VALUES (?, ?, ?)", [(k, p or "", t) for k, (p, t) in enumerate(FILES)])
+    got = sorted((r[1:] for r in c.execute(licenses.oracle(model, "SELECT * FROM f")).fetchall()), key=repr)
+    assert got == brute(model)
+
+
+def test_no_python_in_the_plan(spark):
+    plan = licenses.scan(spark.createDataFrame(FILES, "path string, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)

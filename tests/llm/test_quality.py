@@ -1,0 +1,90 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from flowgauge.llm import quality
+from tests.llm.conftest import ODD
+
+
+def brute(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+    count, covered = Counter(windows), set()
+    for k, w in enumerate(windows):
+        if count[w] > 1:
+            covered |= set(range(k, k + 5))
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+@settings(max_examples=300, database=None)
+@given(st.text(st.sampled_from("ab #|\n\t\r\x0b\x1c\x85é"), max_size=60))
+def test_statistics(text):
+    assert quality.base_stats(text)[:5] == brute(text)
+
+
+def training(seed=1, n=600):
+    rng = np.random.default_rng(seed)
+    x = rng.random((n, len(quality.FEATURES)))
+    y = (x[:, 2] < 0.5) & (x[:, 4] < 0.6)
+    return x, np.where(rng.random(n) < 0.03, ~y, y).astype(float)
+
+
+def test_fit_and_monotonic():
+    x, y = training()
+    model = quality.fit(x, y)
+    score = model.score(x)
+    assert ((score > 0.5) == y).mean() > 0.95
+    for name, sign in quality.MONOTONE.items():
+        f = quality.FEATURES.index(name)
+        grid = np.repeat(x[:50], 40, axis=0)
+        grid[:, f] = np.tile(np.linspace(-1, 2, 40), 50)
+        steps = np.diff(model.score(grid).reshape(50, 40), axis=1)
+        assert (sign * steps >= -1e-12).all()
+
+
+def test_flat_arrays_as_recursion():
+    x, y = training(2)
+    m = quality.fit(x, y, rounds=5)
+
+    def walk(node, row):
+        if m.left[node] == node:
+            return m.value[node]
+        return walk(m.left[node] if row[m.feature[node]] <= m.threshold[node] else m.right[node], row)
+
+    assert np.allclose(m.margin(x[:40]), [m.bias + sum(walk(r, row) for r in m.roots) for row in x[:40]])
+
+
+def test_held_out_accuracy(spark):
+    rng = random.Random(3)
+    vocab = [f"w{k}" for k in range(400)]
+    rows, labels = [], []
+    for k in range(400):
+        words = rng.choices(vocab, k=rng.randrange(20, 80))
+        good = k % 2
+        rows.append((k, " ".join(words) if good else " ".join(w + rng.choice("#*$") for w in words)))
+        if k % 4 > 1:
+            labels.append((k, good if rng.random() > 0.03 else 1 - good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"), 150)
+    got = {r.doc_id: r.kept for r in quality.judge(docs, model).collect()}
+    assert sum(got[k] == bool(k % 2) for k in got if k % 4 < 2) >= 195
+
+
+def test_odd_rows(spark, odd_docs):
+    labels = spark.createDataFrame([(None, 1, "a"), (1, None, "b"), (8, 1, "c"), (8, 0, "d"), (9, 7, "e"), (77, 0, "f")], "doc_id long, quality int, kept string")
+    model = quality.train(odd_docs, labels)
+    got = quality.judge(odd_docs, model).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == sorted((str(i), *brute(t)) for i, t in ODD)
+    for r in got:
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and r.kept <= (not r.base_failed)
+    assert quality.judge(odd_docs.limit(0), model).count() == 0
+    none = quality.train(odd_docs, labels.limit(0))
+    assert {r.kept == (not r.base_failed) for r in quality.judge(odd_docs, none).collect()} == {True}
+    kept = quality.keep_good(odd_docs, none)
+    assert kept.columns == odd_docs.columns and kept.count() == sum(r.kept for r in got)
