@@ -19,6 +19,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowgauge.llm.common import written
+
 #: A rate is split into equal parts of at most this; sums of Poisson numbers are Poisson.
 PART = 16.0
 #: Beyond this count the distribution at PART lacks less than the spacing of the uniform numbers.
@@ -38,15 +40,15 @@ def uniform(*parts):
 def source_rates(docs: DataFrame, weights: Mapping[str | None, float], size: float | None) -> DataFrame:
     """source, parts, cdf: how many Poisson numbers to add and their distribution function."""
     chars = F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    stats = docs.groupBy("source").agg(chars.alias("chars"))
+    stats = written(docs.groupBy("source").agg(chars.alias("chars")), "sources")  # one pass over the texts
     weight = F.lit(1.0)
     for name, w in weights.items():
         weight = F.when(F.col("source").isNull() if name is None else F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
     stats = stats.select("source", "chars", F.when(F.col("chars") > 0, weight).otherwise(0.0).alias("weight"))
-    total = stats.agg(F.sum("weight").alias("all_weight"), F.sum("chars").alias("all_chars"))
-    target = F.col("all_chars").cast("double") if size is None else F.lit(float(size))
-    rate = F.when(F.col("weight") > 0, F.col("weight") / F.col("all_weight") * target / F.col("chars")).otherwise(0.0)
-    rates = stats.join(F.broadcast(total)).select("source", rate.alias("rate"))  # one row of totals
+    total = stats.agg(F.sum("weight").alias("weight"), F.sum("chars").alias("chars")).first()
+    target = F.lit(float(total.chars or 0) if size is None else float(size))
+    rate = F.when(F.col("weight") > 0, F.col("weight") / F.lit(float(total.weight or 0)) * target / F.col("chars")).otherwise(0.0)
+    rates = stats.select("source", rate.alias("rate"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
     rates = rates.select("source", "rate", parts.alias("parts"), (F.col("rate") / parts).alias("mean"))
     term = F.aggregate(
@@ -63,7 +65,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float], size: float | None
     columns = [c for c in docs.columns if c.lower() not in ("copy", "order_key") and not c.lower().startswith("mix_")]
     docs = docs.select(columns)
     rates = source_rates(docs, weights, size)
-    few = len(rates.select("source").limit(BROADCAST_SOURCES + 1).collect()) <= BROADCAST_SOURCES
+    few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     if few:
         joined = docs.join(F.broadcast(rates.withColumnsRenamed({c: f"mix_{c}" for c in rates.columns})), F.col("source").eqNullSafe(F.col("mix_source")))
     else:  # a large source is dealt over SALTS partitions
