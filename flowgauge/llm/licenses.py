@@ -44,6 +44,8 @@ TEMPLATES = [
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
+#: Terms that other text has, too, from less to more common ones; anchors only at need.
+COMMON = "without may can not other so any under all was this or it as an by from for with that are on is at be you a in to and of the".split()
 THRESHOLD = 0.7
 TERM = "[^a-z0-9]+"
 STATEMENT = r"\n|[.;]\s+"
@@ -67,7 +69,7 @@ class Model:
             norm = math.sqrt(sum(x * x for x in w.values()))
             self.weights += [(k, t, x / norm) for t, x in w.items()]
             left = 1.0
-            for t in sorted(w, key=lambda t: (-w[t], t)):
+            for t in sorted(w, key=lambda t: (t in COMMON, not t.isalpha(), COMMON.index(t) if t in COMMON else 0, -w[t], t)):
                 if left < threshold**2 - 1e-9:
                     break
                 self.anchors.add(t)
