@@ -233,7 +233,7 @@ def part_counts(spark, sf_dir, thresholds) -> DataFrame:
         rows = docs.join(sizes(pred, "n_pred"), "doc_id", "left").join(sizes(gold, "n_gt"), "doc_id", "left").na.fill(0, ["n_pred", "n_gt"])
         return rows.select("*", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold"))
 
-    accepted = accepted_parts(spark, sf_dir, thresholds)
+    accepted = accepted_parts(spark, sf_dir, thresholds).persist()  # read three times
     found = accepted.groupBy("threshold", "doc_id").agg(F.count("*").alias("tp"))
     side = lambda odd: table(spark, sf_dir, "part").where(F.col("p_partkey") % 2 == odd).select(F.col("p_brand").alias("doc_id"))
     entity = metrics.counts_per_doc(both(side(0), side(1)), found, "entities")
