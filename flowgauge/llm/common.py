@@ -1,4 +1,4 @@
-"""Helpers that the training-data operators share: shared storage, Arrow batching, caches."""
+"""Helpers that the training-data operators share: shared storage and Arrow batching."""
 
 from __future__ import annotations
 
@@ -93,6 +93,17 @@ class Recent(dict):
         return new
 
 
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """What a Python worker keeps from task to task: the last thing that was asked for, only."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def filter_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[dict[str, list]], list[bool]]]) -> DataFrame:
     """The rows of ``df``, with all its columns, for which the verdict on ``columns`` is true."""
     small_batches(df.sparkSession)

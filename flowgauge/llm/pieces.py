@@ -22,24 +22,26 @@ import heapq
 import math
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import map_rows
+from flowgauge.llm.common import kept, map_rows
 
 SPACE = "▁"
 #: Cost of a character that has no piece, below the lowest score of a piece.
 UNKNOWN = 10.0
 #: Distinct words that a Python worker remembers.
-CACHE = 600_000
+CACHE = 1_500_000
 #: Words with their leading spaces; line ends and U+2581 alone.
 WORDS = re.compile(r" *[^ \n▁]+|\n|▁| +")
 N_BEST = 4
+#: What a look-up gives for a text that begins no piece.
+NONE = object()
 
 
 class Lattice:
@@ -59,6 +61,12 @@ class Lattice:
         back = {i: b for b, i in self.byte.items()}
         self.raw = [bytes([back[i]]) if i in back else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.prefixes = {p[:k] for p in self.plain for k in range(1, len(p) + 1)}
+        #: Score of each prefix that is a piece, None of those that only begin one.
+        self.walk = {p: self.plain[p][1] if p in self.plain else None for p in self.prefixes}
+        # marks that no piece has behind a letter: a word ends before them as far as pieces go
+        joined = {b for p in self.plain for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
+        marks = "".join(c for c in ".,!?;:|)" if c not in joined)
+        self.tail = re.compile(rf"( *[^\W\d_]+)([{re.escape(marks)}][^ \n▁]*)") if marks else None
 
     def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each position the edges that end there: start, score, ids."""
@@ -79,7 +87,7 @@ class Lattice:
         return out
 
     def n_best(self, word: str) -> Iterator[tuple[float, tuple[int, ...]]]:
-        """Segmentations of a word from best to worst; equal scores in order of discovery."""
+        """Segmentations of a word from best to worst, in an order that any run repeats."""
         edges = self.edges(word)
         best = [0.0] + [-math.inf] * len(word)
         for j in range(1, len(best)):
@@ -87,15 +95,20 @@ class Lattice:
                 if best[i] + s > best[j]:
                     best[j] = best[i] + s
         count = 0
-        todo = [(-best[-1], 0, len(word), 0.0, ())]
+        # of equal scores the one nearest to the start goes on: else all ties would grow side by side
+        todo = [(-best[-1], len(word), 0, 0.0, None)]
         while todo:
-            _, _, at, done, ids = heapq.heappop(todo)
+            _, at, _, done, path = heapq.heappop(todo)
             if not at:
-                yield done, ids
+                ids: list[int] = []
+                while path:
+                    ids += path[0]
+                    path = path[1]
+                yield done, tuple(ids)
                 continue
             for i, s, own in edges[at]:
                 count += 1
-                heapq.heappush(todo, (-(done + s + best[i]), count, i, done + s, own + ids))
+                heapq.heappush(todo, (-(done + s + best[i]), i, count, done + s, (own, path)))
 
     def best(self, word: str) -> tuple[float, tuple[int, ...], float]:
         """The best score, its ids, and by how much the second best falls short.
@@ -103,56 +116,55 @@ class Lattice:
         Any other segmentation takes an edge that the best one doesn't; the best path over an
         edge is its score between the forward and the backward Viterbi score of its ends.
         """
-        plain, prefixes, n, low, longest = self.plain, self.prefixes, len(word), -math.inf, self.longest
+        if word == SPACE:  # a character like others, but the vocabulary's sign for a space
+            return self.lowest, tuple(self.byte[b] for b in word.encode()), math.inf
+        walk, n, low, lowest = self.walk.get, len(word), -math.inf, self.lowest
         fore, via = [0.0] + [low] * n, [0] * (n + 1)
-        starts, ends, scores = [], [], []  # of the edges, by start
+        edges: list[tuple[int, int, float]] = []  # by start, so all that reaches a start is there
+        add, last, k = edges.append, n + 1, 0
         for i in range(n):
             here = fore[i]
-            single = word[i] != SPACE
-            for j in range(i + 1, min(n, i + longest) + 1) if single else ():
-                got = plain.get(w := word[i:j])
-                if got is not None:
-                    s = got[1]
-                elif w in prefixes:
-                    if j == i + 1:
-                        s = self.lowest
-                    else:
+            j = i + 1
+            s = first = walk(word[i], NONE)
+            if s is None or s is NONE:
+                s = lowest
+            if here + s > fore[j]:
+                fore[j], via[j] = here + s, k
+            add((i, j, s))
+            k += 1
+            if first is not NONE:
+                for j in range(i + 2, last):
+                    s = walk(word[i:j], NONE)
+                    if s is None:
                         continue
-                elif j == i + 1:
-                    s = self.lowest
-                else:
-                    break
-                if here + s > fore[j]:
-                    fore[j], via[j] = here + s, len(starts)
-                starts.append(i)
-                ends.append(j)
-                scores.append(s)
-                if got is None and w not in prefixes:
-                    break
-            if not single:
-                if here + self.lowest > fore[i + 1]:
-                    fore[i + 1], via[i + 1] = here + self.lowest, len(starts)
-                starts.append(i)
-                ends.append(i + 1)
-                scores.append(self.lowest)
-        ids: list[tuple[int, ...]] = []
-        on, j = set(), n
+                    if s is NONE:
+                        break
+                    if here + s > fore[j]:
+                        fore[j], via[j] = here + s, k
+                    add((i, j, s))
+                    k += 1
+        ids: list[int] = []
+        on, j, plain = set(), n, self.plain.get
         while j:
-            on.add(k := via[j])
-            i = starts[k]
-            w = word[i:j]
-            got = plain.get(w) if w != SPACE else None
-            ids.append((got[0],) if got else tuple(self.byte[b] for b in w.encode()))
+            k = via[j]
+            on.add(k)
+            i = edges[k][0]
+            got = plain(word[i:j])
+            if got:
+                ids.append(got[0])
+            else:
+                ids += [self.byte[b] for b in reversed(word[i:j].encode())]
             j = i
-        back, second = [low] * n + [0.0], low
-        for k in range(len(starts) - 1, -1, -1):
-            i = starts[k]
-            rest = scores[k] + back[ends[k]]
-            if rest > back[i]:
-                back[i] = rest
-            if k not in on and fore[i] + rest > second:
-                second = fore[i] + rest
-        return fore[n], tuple(chain.from_iterable(reversed(ids))), fore[n] - second
+        ids.reverse()
+        back, second, k = [low] * n + [0.0], low, len(edges)
+        for i, j, s in reversed(edges):
+            k -= 1
+            s += back[j]
+            if s > back[i]:
+                back[i] = s
+            if fore[i] + s > second and k not in on:
+                second = fore[i] + s
+        return fore[n], tuple(ids), fore[n] - second
 
     def decode(self, ids) -> str:
         """The text of ids; the space that encoding puts first goes again."""
@@ -183,44 +195,71 @@ class Encoder:
     def __init__(self, model: str, n_best: int = N_BEST):
         self.lattice, self.n = Lattice(model), n_best
         self.at: dict[str, int] = {}
-        self.score, self.gap, self.hits = np.zeros(CACHE), np.zeros(CACHE), np.zeros(CACHE, np.int8)
-        self.data: list[bytes] = []
         self.searches: dict[str, Found] = {}
+        self._empty()
 
-    def _learn(self, words: list[str]) -> np.ndarray:
+    def _empty(self) -> None:
+        """Best score, gap to the second best, uses, and where the ids begin and how many they are."""
+        self.score, self.gap, self.hits = np.zeros(1024), np.zeros(1024), np.zeros(1024, np.int8)
+        self.start, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
+
+    def _places(self, words: list[str]) -> np.ndarray:
         """The place of each word in the arrays."""
-        at = self.at
-        new = set(words).difference(at)
-        if len(at) + len(new) > len(self.score):
-            self._forget(len(new), set(words))
-            at = self.at
-            new = set(words).difference(at)
-        for w in new:
-            k = at[w] = len(self.data)
-            self.score[k], ids, self.gap[k] = self.lattice.best(w)
-            self.hits[k] = 0
-            self.data.append(array("I", ids).tobytes())
-        idx = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        found = list(map(self.at.get, words))
+        if None in found:
+            new = set(compress(words, map(is_, found, repeat(None))))
+            if len(self.at) + 2 * len(new) > CACHE:  # a word may bring its letters along
+                self._forget(set(words))
+                new = set(words).difference(self.at)
+            for w in new:
+                if w not in self.at:  # it may have come with another word
+                    self._add(w)
+            found = list(map(self.at.__getitem__, words))
+        idx = np.array(found, np.int64)
         self.hits[idx] = np.minimum(self.hits[idx] + 1, 2)
         return idx
 
-    def _forget(self, room: int, now: set[str]) -> None:
-        """Keep words seen in two texts or more since the last time, if that makes room."""
-        kept = [(w, k) for w, k in self.at.items() if self.hits[k] > 1]
-        if len(kept) + room + len(now) > len(self.score):
-            kept = []
-        if room + len(now) > len(self.score):  # one text with more distinct words
-            more = 2 * (room + len(now))
-            self.score, self.gap, self.hits = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.score, self.gap, self.hits))
-        old = [k for _, k in kept]
-        self.at = {w: i for i, (w, _) in enumerate(kept)}
-        self.data = [self.data[k] for k in old]
-        for x in (self.score, self.gap):
-            x[: len(old)] = x[old]
-        self.hits[:] = 0
+    def _add(self, w: str) -> int:
+        """Search a word, or put it together from its letters and the marks behind them."""
+        m = self.lattice.tail.fullmatch(w) if self.lattice.tail else None
+        if m:
+            a, b = (self.at[x] if x in self.at else self._add(x) for x in m.groups())
+            score, gap = self.score[a] + self.score[b], min(self.gap[a], self.gap[b])
+            ids = [*self._own(a), *self._own(b)]
+        else:
+            score, ids, gap = self.lattice.best(w)
+            if self.lattice.raw_text(ids) != w:
+                raise AssertionError(f"{w!r} doesn't decode to itself")
+        return self._put(w, score, gap, ids)
+
+    def _own(self, k: int) -> list[int]:
+        return self.ids[self.start[k] : self.start[k] + self.size[k]].tolist()
+
+    def _put(self, w: str, score: float, gap: float, ids) -> int:
+        k = self.at[w] = len(self.at)
+        if k == len(self.score):
+            self.score, self.gap, self.hits, self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.score, self.gap, self.hits, self.start, self.size))
+        n = len(ids)
+        while self.used + n > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + n] = ids
+        self.score[k], self.gap[k], self.hits[k], self.start[k], self.size[k] = score, gap, 0, self.used, n
+        self.used += n
+        return k
+
+    def _forget(self, now: set[str]) -> None:
+        """Keep words of this text, and those seen in two texts or more since the last time, if they are few."""
+        kept = [(w, k) for w, k in self.at.items() if self.hits[k] > 1 or w in now]
+        if len(kept) > CACHE // 2:
+            kept = [(w, k) for w, k in kept if w in now]
+        rows = [(w, self.score[k], self.gap[k], self._own(k)) for w, k in kept]
+        self.at = {}
+        self._empty()
+        for row in rows:
+            self._put(*row)
 
     def search(self, word: str) -> Found:
-        if len(self.searches) > 5000:
+        if len(self.searches) > 20_000:
             self.searches.clear()
         got = self.searches.get(word)
         if got is None:
@@ -233,10 +272,11 @@ class Encoder:
         words = WORDS.findall(" " + text) if text else []
         if not words:
             return [(0.0, b"")], []
-        idx = self._learn(words)
-        score = float(self.score[idx].sum())
-        parts = list(map(self.data.__getitem__, idx.tolist()))
-        out, changed = [(score, b"".join(parts))], []
+        idx = self._places(words)
+        score, size = float(self.score[idx].sum()), self.size[idx]
+        ends = np.cumsum(size)
+        best = self.ids[np.repeat(self.start[idx] - ends + size, size) + np.arange(ends[-1])]
+        out, changed = [(score, best.tobytes())], []
         if self.n == 1:
             return out, changed
         gaps = self.gap[idx]
@@ -244,7 +284,6 @@ class Encoder:
         near = np.flatnonzero(gaps <= np.partition(gaps, k - 1)[k - 1])
         pos = sorted(near[np.lexsort((near, gaps[near]))][:k].tolist())
         found = [self.search(words[p]) for p in pos]
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
         # best first over choices of a segmentation for each of these words
         todo = [(0.0, (0,) * k)]
         seen = {todo[0][1]}
@@ -256,9 +295,9 @@ class Encoder:
                     if c:
                         ids = f.get(c)[1]
                         changed.append((words[p], ids))
-                        data += [out[0][1][cut : ends[p] - len(parts[p])], array("I", ids).tobytes()]
+                        data += [best[cut : ends[p] - size[p]], np.array(ids, np.uint32)]
                         cut = ends[p]
-                out.append((score - loss, b"".join([*data, out[0][1][cut:]])))
+                out.append((score - loss, np.concatenate([*data, best[cut:]]).tobytes()))
                 if len(out) == self.n:
                     break
             for i, f in enumerate(found):
@@ -269,11 +308,16 @@ class Encoder:
         return out, changed
 
 
+def encoder(model: str, n_best: int) -> Encoder:
+    """A Python worker keeps what it knows of words from task to task."""
+    return kept(("pieces", model, n_best), lambda: Encoder(model, n_best))
+
+
 def n_best_pieces(docs: DataFrame, model: str, n_best: int = N_BEST) -> DataFrame:
     """doc_id and ``nbest``, an array of (score, ids), best first."""
 
     def make():
-        enc = Encoder(model, n_best)
+        enc = encoder(model, n_best)
 
         def step(cols):
             got = [enc.encode(t)[0] for t in cols["text"]]
@@ -298,7 +342,7 @@ def piece_digests(docs: DataFrame, model: str, n_best: int = N_BEST) -> DataFram
     """Encode each whole text, decode its segmentations again, and describe both."""
 
     def make():
-        enc = Encoder(model, n_best)
+        enc = encoder(model, n_best)
         lattice = enc.lattice
 
         def step(cols):
@@ -310,8 +354,8 @@ def piece_digests(docs: DataFrame, model: str, n_best: int = N_BEST) -> DataFram
                 out["best_score"].append(got[0][0])
                 out["scores"].append([s for s, _ in got])
                 out["nbest_crc32"].append([zlib.crc32(b) for _, b in got])
-                same = lattice.decode(np.frombuffer(got[0][1], "<u4").tolist()) == (t or "")  # the others differ from it in these words
-                out["exact"].append(same and all(lattice.raw_text(ids) == w for w, ids in changed))
+                # words of the best one were decoded as they were learned; the others differ in these
+                out["exact"].append(all(lattice.raw_text(ids) == w for w, ids in changed))
             return {"doc_id": cols["doc_id"]} | out
 
         return step
