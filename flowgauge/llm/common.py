@@ -70,29 +70,6 @@ def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Calla
     return df.mapInArrow(run, out)
 
 
-class Recent(dict):
-    """A cache of bounded size: when full, entries not used since the last turn-over go."""
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.old = limit, {}
-
-    def missing(self, keys) -> list:
-        """Those of ``keys`` that must be computed; revives the ones of the older half."""
-        new = []
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        for k in keys:
-            if k not in self:
-                v = self.old.get(k)
-                if v is None:
-                    new.append(k)
-                else:
-                    self[k] = v
-        return new
-
-
 _kept: dict = {}
 
 

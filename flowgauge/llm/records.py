@@ -19,7 +19,10 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +30,12 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import Recent, shared_dir, small_batches
+from flowgauge.llm.common import kept, shared_dir, small_batches
 
 HEAD, TAIL, INDEX, PAYLOAD = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qQQ"), struct.Struct("<qB")
 NULL_ID, WIDE = 1, 2
 #: Distinct words whose ids a Python worker remembers.
-CACHE = 400_000
+CACHE = 1_500_000
 #: White space besides spaces and line ends: such texts are encoded whole.
 ODD = re.compile(r"[^\S \n]")
 
@@ -81,9 +84,9 @@ def entry(doc_id: int | None, at: int, size: int) -> bytes:
 class WordEncoder:
     """Encodes whole texts with a byte-level BPE of the tokenizers library.
 
-    Its splitting rule always starts a new piece at a space that a non-space follows, so a
-    text can be encoded word by word and each distinct word needs the library only once.
-    Texts with other runs of white space go to the library whole.
+    Its splitting rule always starts a new piece at a space that a non-space follows, and cuts
+    on both sides of a single line end, so a text can be encoded word by word, and a distinct
+    word needs the library only once. Texts with runs of white space go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -94,23 +97,52 @@ class WordEncoder:
         self.tok.encode_special_tokens = True  # their strings inside a text are ordinary text
         self.wide = self.tok.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.cache = Recent(CACHE)
+        self.line_end = self.tok.encode("\n", add_special_tokens=False).ids[0]
+        self.known: dict[str, bytes] = {}  # ids of a space or line end and the word
 
     def _many(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [array(self.kind.char, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words with the white space before them: those behind spaces in long lines, cut
+        at the id of the line ends between them again."""
+        plain = [w for w in words if w[0] != "\n"]
+        lines = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
+        size, out = self.kind.itemsize, {}
+        for line, e in zip(lines, self.tok.encode_batch_fast([" " + "\n ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            data, cuts = ids.tobytes(), (np.flatnonzero(ids == self.line_end) * size).tolist()
+            out.update(zip(line, map(data.__getitem__, map(slice, [0, *(c + size for c in cuts)], [*cuts, len(data)])), strict=True))
+        rest = [w for w in words if w[0] == "\n"]
+        out.update(zip(rest, self._many(rest), strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts: list[list[str] | None] = []
-        for t in texts:
-            first, *rest = t.split(" ")
-            odd = "" in rest or " \n" in t or "\n " in t or ODD.search(t)
-            parts.append(None if odd else [first, *(" " + w for w in rest)])
-        new = self.cache.missing({w for ws in parts if ws for w in ws})
-        self.cache.update(zip(new, self._many(new), strict=True) if new else ())
-        whole = [t for t, ws in zip(texts, parts, strict=True) if ws is None]
-        spare = iter(self._many(whole) if whole else ())
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)) if ws is not None else next(spare), self.kind) for ws in parts]
+        """The ids of each text; texts that aren't cut at all spaces are encoded whole."""
+        parts = [t.replace("\n", " \n").split(" ") for t in texts]  # a line end stays with the word behind it
+        whole = [k for k, (t, ws) in enumerate(zip(texts, parts, strict=True)) if "" in ws[1:] or "\n " in t or "\n\n" in t or ODD.search(t)]
+        heads = self._many([ws[0] for ws in parts])
+        for k, data in zip(whole, self._many([texts[k] for k in whole]), strict=True):
+            heads[k], parts[k] = data, [""]
+        for ws in parts:
+            del ws[0]
+        found = [list(map(self.known.get, ws)) for ws in parts]
+        lacks = [list(compress(ws, map(is_, ids, repeat(None)))) for ws, ids in zip(parts, found, strict=True)]
+        got = self._words(list(set().union(*lacks)))
+        if len(self.known) + len(got) > CACHE:
+            self.known = {}
+        self.known.update(got)
+        out = []
+        for head, ws, ids, lack in zip(heads, parts, found, lacks, strict=True):
+            if lack:
+                ids = [got[w] if x is None else x for w, x in zip(ws, ids, strict=True)]
+            out.append(np.frombuffer(head + b"".join(ids), self.kind))
+        return out
+
+
+def encoder(path: str) -> WordEncoder:
+    """A Python worker keeps what it knows of words from task to task."""
+    return kept(("records", path), lambda: WordEncoder(path))
 
 
 def _opened(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -133,22 +165,21 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
 
         shard = TaskContext.get().partitionId()
         store, base = _opened(folder)
-        enc = WordEncoder(tokenizer)
+        enc = encoder(tokenizer)
         own = f"{base}/.attempt-{uuid.uuid4().hex}"
         records = total = at = 0
         with store.open_output_stream(f"{own}.rec") as rec, store.open_output_stream(f"{own}.idx") as idx:
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                for lo in range(0, len(texts), 100):
-                    for doc_id, tokens in zip(ids[lo : lo + 100], enc.encode(texts[lo : lo + 100]), strict=True):
-                        if end_id is not None:
-                            tokens = np.append(tokens, np.array([end_id], enc.kind))
-                        data = frame(to_payload(doc_id, tokens, enc.wide))
-                        rec.write(data)
-                        idx.write(entry(doc_id, at, len(data)))
-                        at += len(data)
-                        records, total = records + 1, total + len(tokens)
+                for doc_id, tokens in zip(ids, enc.encode(texts), strict=True):
+                    if end_id is not None:
+                        tokens = np.append(tokens, np.array([end_id], enc.kind))
+                    data = frame(to_payload(doc_id, tokens, enc.wide))
+                    rec.write(data)
+                    idx.write(entry(doc_id, at, len(data)))
+                    at += len(data)
+                    records, total = records + 1, total + len(tokens)
         for kind in ("rec", "idx"):
             store.move(f"{own}.{kind}", f"{base}/part-{shard:05d}.{kind}")
         yield pa.RecordBatch.from_pydict({"shard": [shard], "records": [records], "ids": [total]})
