@@ -35,7 +35,7 @@ from flowgauge.llm.common import map_rows, small_batches, written
 from flowgauge.llm.graph import connected_components
 
 #: N-grams of a block of a cluster: bounds what a task holds.
-BLOCK = 1_000_000
+BLOCK = 250_000
 #: Ids that may be broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Sets of which a task remembers that it has signed them.
@@ -119,6 +119,35 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def pooled(owners: list[int], signs: list[list[tuple[int, np.ndarray]]]) -> list[list[dict]]:
+    """Pre-aggregate the signatures of a batch of classes.
+
+    Of the classes of the batch that share a signature the first one holds it, and the others
+    name that one as their peer: so a signature leaves a batch once, however many share it.
+    """
+    lengths = [len(sigs) for levels in signs for _, sigs in levels]
+    if not lengths:
+        return [[] for _ in signs]
+    flat = np.concatenate([sigs for levels in signs for _, sigs in levels])
+    owner = np.repeat(np.array([o for o, levels in zip(owners, signs, strict=True) for _ in levels], np.int64), lengths)
+    _, first, back, count = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+    many, holds = (count > 1)[back], first[back] == np.arange(len(flat))
+    peer = owner[first[back]]
+    ends = iter(np.cumsum([0, *lengths]).tolist())
+    lo, out = next(ends), []
+    for levels in signs:
+        out.append([])
+        for need, _ in levels:
+            hi = next(ends)
+            sigs, m, h = flat[lo:hi].view(np.int64), many[lo:hi], holds[lo:hi]
+            out[-1].append({"need": need, "sigs": sigs[~m], "held": sigs[m & h], "peers": peer[lo:hi][m & ~h]})
+            lo = hi
+    return out
+
+
+SIGNED_SCHEMA = "doc_id long, n_shingles long, h1 long, h2 long, signs array<struct<need: int, sigs: array<bigint>, held: array<bigint>, peers: array<bigint>>>"
+
+
 def signed_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, h1 and h2 (the class), and the signatures of classes new to the task."""
 
@@ -126,40 +155,46 @@ def signed_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
         levels, seen = Levels(percent), {}
 
         def step(cols):
-            out: dict[str, list] = {"doc_id": cols["doc_id"], "n_shingles": [], "h1": [], "h2": [], "signs": []}
-            for t in cols["text"]:
+            out: dict[str, list] = {"doc_id": cols["doc_id"], "n_shingles": [], "h1": [], "h2": [], "signs": [None] * len(cols["text"])}
+            new, signs = [], []
+            for k, t in enumerate(cols["text"]):
                 s = shingles(t, n)
+                key = set_key(s) if len(s) else (None, None)
                 out["n_shingles"].append(len(s))
-                if not len(s):
-                    for k in ("h1", "h2", "signs"):
-                        out[k].append(None)
-                    continue
-                key = set_key(s)
                 out["h1"].append(key[0])
                 out["h2"].append(key[1])
-                if key in seen:
-                    out["signs"].append(None)
-                    continue
-                if len(seen) >= SIGNED:
-                    seen.clear()
-                seen[key] = True
-                out["signs"].append([{"need": need, "sigs": sigs.view(np.int64)} for need, sigs in levels.sign(s)])
+                if len(s) and key not in seen:
+                    if len(seen) >= SIGNED:
+                        seen.clear()
+                    seen[key] = True
+                    new.append(k)
+                    signs.append(list(levels.sign(s)))
+            for k, got in zip(new, pooled([out["h1"][k] for k in new], signs), strict=True):
+                out["signs"][k] = got
             return out
 
         return step
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_rows(rows, "doc_id long, n_shingles long, h1 long, h2 long, signs array<struct<need: int, sigs: array<bigint>>>", make)
+    return map_rows(rows, SIGNED_SCHEMA, make)
 
 
 def candidate_edges(signed: DataFrame) -> DataFrame:
-    """(a, b): classes that share a signature, each linked with the smallest class of it."""
+    """(a, b): classes that share a signature, each linked with the smallest class of it or with
+    the one that held it in its batch. Classes that share too few signatures to have a partner
+    are left out first."""
     rows = signed.where("signs is not null").select("h1", F.posexplode("signs").alias("level", "s"))
-    rows = rows.select("h1", (F.col("s.need") * 2 + F.col("level")).alias("rule"), F.explode("s.sigs").alias("sig"))
+    rows = rows.select("h1", (F.col("s.need") * 2 + F.col("level")).alias("rule"), "s.sigs", "s.held", "s.peers")
+    alone = rows.select("h1", "rule", F.explode("sigs").alias("sig"), F.lit(False).alias("known"))
+    held = rows.select("h1", "rule", F.explode("held").alias("sig"), F.lit(True).alias("known"))
     by_sig, by_class = Window.partitionBy("sig"), Window.partitionBy("h1", "rule")
-    shared = rows.select("*", F.min("h1").over(by_sig).alias("lo"), F.max("h1").over(by_sig).alias("hi")).where("lo <> hi").drop("lo", "hi")
-    enough = shared.select("*", F.count("*").over(by_class).alias("n")).where("n >= rule div 2").select("h1", "sig")
-    return enough.select("h1", F.min("h1").over(by_sig).alias("lo")).where("h1 <> lo").select(F.col("h1").alias("a"), F.col("lo").alias("b")).distinct()
+    met = alone.union(held).select("*", F.min("h1").over(by_sig).alias("lo"), F.max("h1").over(by_sig).alias("hi")).where("known or lo <> hi")
+    local = rows.select("h1", "rule", F.lit(None).cast("long").alias("sig"), F.explode("peers").alias("peer"))
+    shared = met.select("h1", "rule", "sig", F.lit(None).cast("long").alias("peer")).union(local)
+    enough = written(shared.select("*", F.count("*").over(by_class).alias("n")).where("n >= rule div 2").select("h1", "sig", "peer"), "enough")
+    far = enough.where("sig is not null").select(F.col("h1").alias("a"), F.min("h1").over(by_sig).alias("b"))
+    near = enough.where("peer is not null").select(F.col("h1").alias("a"), F.col("peer").alias("b"))
+    return far.union(near).where("a <> b").distinct()
 
 
 class Node:
@@ -353,7 +388,8 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     linked = classes.join(links.withColumnsRenamed({"node": "h1"}), "h1", "left")
     roots = linked.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
     grouped = linked.join(roots, "root", "left").where("rows > 1 or root is not null")
-    component = grouped.select("h1", "h2", F.coalesce("least", "first").alias("component"))
+    # a table of its own, so that Spark can split a class of very many copies over tasks
+    component = written(grouped.select("h1", "h2", F.coalesce("least", "first").alias("component")), "component")
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(component, ["h1", "h2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -20,12 +20,14 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import filter_rows, map_rows
+from flowgauge.llm.common import filter_rows, kept, map_rows
 
 SPACE = "▁"
 UNKNOWN = "und"
@@ -35,7 +37,7 @@ PER_LANGUAGE = 300
 STRANGE = 1e-9
 #: Words longer than this are summed with scaling, one at a time.
 LONG = 24
-CACHE = 500_000
+CACHE = 700_000
 
 
 class Vocabulary:
@@ -48,6 +50,8 @@ class Vocabulary:
         self.size = len(pieces)  # the index after the last stands for a strange character
         self.longest = max(map(len, pieces))
         self.prefixes = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        #: Index of each prefix that is a piece, -1 of those that only begin one.
+        self.walk = {p: self.index.get(p, -1) for p in self.prefixes}
 
     def edges(self, word: str) -> list[tuple[int, int, int]]:
         """(start, end, piece) of all pieces in a word, by start."""
@@ -84,18 +88,29 @@ def log_sums(words: list[str], vocab: Vocabulary, p: np.ndarray) -> np.ndarray:
             for k in rows:
                 out[k] = _log_sum(words[k], vocab, p)
             continue
-        steps: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+        m, walk, strange = n + 1, vocab.walk.get, vocab.size
+        steps: list[tuple[list[int], list[int]]] = [([], []) for _ in range(m * m)]  # rows and pieces from i to j
         for r, k in enumerate(rows):
-            for i, j, piece in vocab.edges(words[k]):
-                at = steps.get((i, j))
-                if at is None:
-                    at = steps[i, j] = [], []
+            word = words[k]
+            for i in range(n):
+                piece = first = walk(word[i])
+                at = steps[i * m + i + 1]
                 at[0].append(r)
-                at[1].append(piece)
+                at[1].append(piece if piece is not None and piece >= 0 else strange)
+                if first is not None:
+                    for j in range(i + 2, m):
+                        piece = walk(word[i:j])
+                        if piece is None:
+                            break
+                        if piece >= 0:
+                            at = steps[i * m + j]
+                            at[0].append(r)
+                            at[1].append(piece)
         alpha = np.zeros((n + 1, len(rows), p.shape[1]))
         alpha[0] = 1
-        for (i, j), (r, pieces) in sorted(steps.items()):  # by start: what reaches i is complete
-            alpha[j, r] += alpha[i, r] * p[pieces]
+        for k, (r, pieces) in enumerate(steps):  # by start: what reaches i is complete
+            if r:
+                alpha[k % m, r] += alpha[k // m, r] * p[pieces]
         out[rows] = np.log(alpha[n])
     return out
 
@@ -164,30 +179,35 @@ class Predictor:
         self.at: dict[str, int] = {}
         self.rows = np.empty((1024, len(model.languages)))
 
-    def _learn(self, words: set[str]) -> None:
-        new = list(words.difference(self.at))
-        if len(self.at) + len(new) > CACHE and self.at:  # as before, but for this batch
+    def _places(self, words: list[list[str]]) -> list[list[int]]:
+        """The row of each word of each text."""
+        found = [list(map(self.at.get, ws)) for ws in words]
+        new = set().union(*(compress(ws, map(is_, ks, repeat(None))) for ws, ks in zip(words, found, strict=True) if None in ks))
+        if not new:
+            return found
+        if len(self.at) + len(new) > CACHE and self.at:  # begin anew with this batch
             self.at = {}
-            new = list(words)
+            return self._places(words)
         lo, hi = len(self.at), len(self.at) + len(new)
         if hi > len(self.rows):
             self.rows = np.concatenate([self.rows, np.empty((hi, self.rows.shape[1]))])
-        if new:
-            self.rows[lo:hi] = log_sums([SPACE + w for w in new], self.vocab, self.model.p)
-            self.at.update(zip(new, range(lo, hi), strict=True))
+        todo = list(new)
+        self.rows[lo:hi] = log_sums([SPACE + w for w in todo], self.vocab, self.model.p)
+        self.at.update(zip(todo, range(lo, hi), strict=True))
+        at = self.at
+        return [[at[w] if k is None else k for w, k in zip(ws, ks, strict=True)] if None in ks else ks for ws, ks in zip(words, found, strict=True)]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and its posterior under even odds."""
         if not self.model.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
-        words = [words_of(t) if t and LETTER.search(t) else None for t in texts]
-        self._learn({w for ws in words if ws for w in ws})
+        places = self._places([words_of(t) if t and LETTER.search(t) else [] for t in texts])
         out = []
-        for ws in words:
-            if not ws:
+        for ks in places:
+            if not ks:
                 out.append((UNKNOWN, 0.0))
                 continue
-            total = self.rows[np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws))].sum(0)
+            total = self.rows[ks].sum(0)
             k = int(total.argmax())
             out.append((self.model.languages[k], float(1 / np.exp(total - total[k]).sum())))
         return out
@@ -198,16 +218,10 @@ def vocabulary_of(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-_kept: dict[bytes, Predictor] = {}
-
-
 def predictor(model: Model, vocabulary: str) -> Predictor:
     """A Python worker keeps what it knows of words, of the last model, from task to task."""
     key = hashlib.sha256(repr((model.languages, vocabulary)).encode() + model.p.tobytes()).digest()
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = Predictor(model, vocabulary_of(vocabulary))
-    return _kept[key]
+    return kept(("language", key), lambda: Predictor(model, vocabulary_of(vocabulary)))
 
 
 def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, list[str]]:
