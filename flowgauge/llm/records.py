@@ -15,7 +15,6 @@ empty table makes a folder without records. Other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -37,7 +36,7 @@ NULL_ID, WIDE = 1, 2
 #: Distinct words whose ids a Python worker remembers.
 CACHE = 1_500_000
 #: White space besides spaces and line ends: such texts are encoded whole.
-ODD = re.compile(r"[^\S \n]")
+ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 def masked(data: bytes) -> int:
@@ -66,9 +65,9 @@ def unframe(buf: bytes, at: int = 0) -> tuple[bytes, int]:
     return payload, end + TAIL.size
 
 
-def to_payload(doc_id: int | None, ids: np.ndarray, wide: bool) -> bytes:
+def to_payload(doc_id: int | None, ids: bytes | np.ndarray, wide: bool) -> bytes:
     flags = (NULL_ID if doc_id is None else 0) | (WIDE if wide else 0)
-    return PAYLOAD.pack(doc_id or 0, flags) + ids.astype("<u4" if wide else "<u2").tobytes()
+    return PAYLOAD.pack(doc_id or 0, flags) + (ids if isinstance(ids, bytes) else ids.astype("<u4" if wide else "<u2").tobytes())
 
 
 def from_payload(payload: bytes) -> tuple[int | None, np.ndarray]:
@@ -118,9 +117,12 @@ class WordEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(x, self.kind) for x in self.encode_bytes(texts)]
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; texts that aren't cut at all spaces are encoded whole."""
         parts = [t.replace("\n", " \n").split(" ") for t in texts]  # a line end stays with the word behind it
-        whole = [k for k, (t, ws) in enumerate(zip(texts, parts, strict=True)) if "" in ws[1:] or "\n " in t or "\n\n" in t or ODD.search(t)]
+        whole = [k for k, (t, ws) in enumerate(zip(texts, parts, strict=True)) if "" in ws[1:] or "\n " in t or "\n\n" in t or any(map(t.__contains__, ODD))]
         heads = self._many([ws[0] for ws in parts])
         for k, data in zip(whole, self._many([texts[k] for k in whole]), strict=True):
             heads[k], parts[k] = data, [""]
@@ -136,7 +138,7 @@ class WordEncoder:
         for head, ws, ids, lack in zip(heads, parts, found, lacks, strict=True):
             if lack:
                 ids = [got[w] if x is None else x for w, x in zip(ws, ids, strict=True)]
-            out.append(np.frombuffer(head + b"".join(ids), self.kind))
+            out.append(head + b"".join(ids))
         return out
 
 
@@ -166,20 +168,21 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
         shard = TaskContext.get().partitionId()
         store, base = _opened(folder)
         enc = encoder(tokenizer)
+        size = enc.kind.itemsize
+        end = b"" if end_id is None else end_id.to_bytes(size, "little")
         own = f"{base}/.attempt-{uuid.uuid4().hex}"
         records = total = at = 0
         with store.open_output_stream(f"{own}.rec") as rec, store.open_output_stream(f"{own}.idx") as idx:
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                for doc_id, tokens in zip(ids, enc.encode(texts), strict=True):
-                    if end_id is not None:
-                        tokens = np.append(tokens, np.array([end_id], enc.kind))
+                for doc_id, tokens in zip(ids, enc.encode_bytes(texts), strict=True):
+                    tokens += end
                     data = frame(to_payload(doc_id, tokens, enc.wide))
                     rec.write(data)
                     idx.write(entry(doc_id, at, len(data)))
                     at += len(data)
-                    records, total = records + 1, total + len(tokens)
+                    records, total = records + 1, total + len(tokens) // size
         for kind in ("rec", "idx"):
             store.move(f"{own}.{kind}", f"{base}/part-{shard:05d}.{kind}")
         yield pa.RecordBatch.from_pydict({"shard": [shard], "records": [records], "ids": [total]})
