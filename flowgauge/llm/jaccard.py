@@ -123,7 +123,7 @@ def pooled(owners: list[int], signs: list[list[tuple[int, np.ndarray]]]) -> list
     """Pre-aggregate the signatures of a batch of classes.
 
     Of the classes of the batch that share a signature the first one holds it, and the others
-    name that one as their peer: so a signature leaves a batch once, however many share it.
+    name that one as their peer, with the signature: that one may be left out later, and they not.
     """
     lengths = [len(sigs) for levels in signs for _, sigs in levels]
     if not lengths:
@@ -140,12 +140,12 @@ def pooled(owners: list[int], signs: list[list[tuple[int, np.ndarray]]]) -> list
         for need, _ in levels:
             hi = next(ends)
             sigs, m, h = flat[lo:hi].view(np.int64), many[lo:hi], holds[lo:hi]
-            out[-1].append({"need": need, "sigs": sigs[~m], "held": sigs[m & h], "peers": peer[lo:hi][m & ~h]})
+            out[-1].append({"need": need, "sigs": sigs[~m], "held": sigs[m & h], "peers": peer[lo:hi][m & ~h], "via": sigs[m & ~h]})
             lo = hi
     return out
 
 
-SIGNED_SCHEMA = "doc_id long, n_shingles long, h1 long, h2 long, signs array<struct<need: int, sigs: array<bigint>, held: array<bigint>, peers: array<bigint>>>"
+SIGNED_SCHEMA = "doc_id long, n_shingles long, h1 long, h2 long, signs array<struct<need: int, sigs: array<bigint>, held: array<bigint>, peers: array<bigint>, via: array<bigint>>>"
 
 
 def signed_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -182,17 +182,18 @@ def signed_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
 def candidate_edges(signed: DataFrame) -> DataFrame:
     """(a, b): classes that share a signature, each linked with the smallest class of it or with
     the one that held it in its batch. Classes that share too few signatures to have a partner
-    are left out first."""
+    are left out first, but for those that hold a signature for one that stays."""
     rows = signed.where("signs is not null").select("h1", F.posexplode("signs").alias("level", "s"))
-    rows = rows.select("h1", (F.col("s.need") * 2 + F.col("level")).alias("rule"), "s.sigs", "s.held", "s.peers")
+    rows = rows.select("h1", (F.col("s.need") * 2 + F.col("level")).alias("rule"), "s.sigs", "s.held", F.arrays_zip("s.peers", "s.via").alias("peers"))
     alone = rows.select("h1", "rule", F.explode("sigs").alias("sig"), F.lit(False).alias("known"))
     held = rows.select("h1", "rule", F.explode("held").alias("sig"), F.lit(True).alias("known"))
     by_sig, by_class = Window.partitionBy("sig"), Window.partitionBy("h1", "rule")
     met = alone.union(held).select("*", F.min("h1").over(by_sig).alias("lo"), F.max("h1").over(by_sig).alias("hi")).where("known or lo <> hi")
-    local = rows.select("h1", "rule", F.lit(None).cast("long").alias("sig"), F.explode("peers").alias("peer"))
+    local = rows.select("h1", "rule", F.explode("peers").alias("p")).select("h1", "rule", F.col("p.via").alias("sig"), F.col("p.peers").alias("peer"))
     shared = met.select("h1", "rule", "sig", F.lit(None).cast("long").alias("peer")).union(local)
     enough = written(shared.select("*", F.count("*").over(by_class).alias("n")).where("n >= rule div 2").select("h1", "sig", "peer"), "enough")
-    far = enough.where("sig is not null").select(F.col("h1").alias("a"), F.min("h1").over(by_sig).alias("b"))
+    hubs = enough.where("peer is not null").select(F.col("peer").alias("h1"), "sig").distinct()
+    far = enough.where("peer is null").select("h1", "sig").union(hubs).select(F.col("h1").alias("a"), F.min("h1").over(by_sig).alias("b"))
     near = enough.where("peer is not null").select(F.col("h1").alias("a"), F.col("peer").alias("b"))
     return far.union(near).where("a <> b").distinct()
 

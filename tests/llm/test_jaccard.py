@@ -126,6 +126,19 @@ def test_signatures_meet(common, extra_a, extra_b, percent, seed):
     assert any(n >= max(p, q) for n, (p, q) in zip(shared, [(p, q) for p, _ in x for q, _ in y], strict=True))
 
 
+def test_holders_left_out(spark):
+    """Classes 4 and 5 share two signatures, held in the first batch by classes that share too few."""
+    batches = [{1: [10, 91], 2: [11, 92], 4: [10, 11]}, {5: [10, 11]}]
+    rows = []
+    for batch in batches:
+        signs = [[(2, np.array(sigs, np.uint64))] for sigs in batch.values()]
+        for h1, levels in zip(batch, jaccard.pooled(list(batch), signs), strict=True):
+            rows.append((h1, 10, h1, h1, [{k: v if k == "need" else v.tolist() for k, v in level.items()} for level in levels]))
+    signed = spark.createDataFrame(rows, jaccard.SIGNED_SCHEMA)
+    root = {r.node: r.root for r in graph.connected_components(jaccard.candidate_edges(signed)).collect()}
+    assert 4 in root and root[4] == root.get(5)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(7, 9), (9, 8), (5, 5), (None, 3), (7, 9)] + [(1000, k) for k in range(1001, 1200)]
     got = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
