@@ -39,6 +39,8 @@ UNKNOWN = 10.0
 CACHE = 1_500_000
 #: Words with their leading spaces; line ends and U+2581 alone.
 WORDS = re.compile(r" *[^ \n▁]+|\n|▁| +")
+#: Letters, and digits that aren't decimal ones.
+LETTER = re.compile(r"[^\W\d_]")
 N_BEST = 4
 #: What a look-up gives for a text that begins no piece.
 NONE = object()
@@ -63,10 +65,10 @@ class Lattice:
         self.prefixes = {p[:k] for p in self.plain for k in range(1, len(p) + 1)}
         #: Score of each prefix that is a piece, None of those that only begin one.
         self.walk = {p: self.plain[p][1] if p in self.plain else None for p in self.prefixes}
-        # marks that no piece has behind a letter: a word ends before them as far as pieces go
-        joined = {b for p in self.plain for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
-        marks = "".join(c for c in ".,!?;:|)" if c not in joined)
-        self.tail = re.compile(rf"( *[^\W\d_]+)([{re.escape(marks)}][^ \n▁]*)") if marks else None
+        # marks, each but behind letters (of the class below) that some piece has before it: a word ends there as far as pieces go
+        joined = {m: sorted({a for p in self.plain for a, b in zip(p, p[1:], strict=False) if b == m and LETTER.match(a)}) for m in ".,!?;:|)"}
+        marks = "|".join((f"(?<![{re.escape(''.join(a))}])" if a else "") + re.escape(m) for m, a in joined.items())
+        self.tail = re.compile(rf"( *{LETTER.pattern}+)((?:{marks})[^ \n▁]*)")
 
     def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each position the edges that end there: start, score, ids."""
@@ -221,7 +223,7 @@ class Encoder:
 
     def _add(self, w: str) -> int:
         """Search a word, or put it together from its letters and the marks behind them."""
-        m = self.lattice.tail.fullmatch(w) if self.lattice.tail else None
+        m = self.lattice.tail.fullmatch(w)
         if m:
             a, b = (self.at[x] if x in self.at else self._add(x) for x in m.groups())
             score, gap = self.score[a] + self.score[b], min(self.gap[a], self.gap[b])

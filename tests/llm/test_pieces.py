@@ -59,6 +59,13 @@ def test_best_and_gap(enc, word):
     assert gap == (ways[0][0] - ways[1][0] if len(ways) > 1 else math.inf)
 
 
+@pytest.mark.parametrize("word", [" m².", " km².", " m²", " x.²", " m².)", " the.", " é,a", "²."])
+def test_composed_words(enc, word):
+    k = enc._add(word)
+    score, ids = next(enc.lattice.n_best(word))
+    assert (enc.score[k], tuple(enc._own(k))) == (pytest.approx(score), ids)
+
+
 def test_forgetting(enc, pieces_model, monkeypatch):
     monkeypatch.setattr(pieces, "CACHE", 40)
     small = pieces.Encoder(pieces_model)
