@@ -173,7 +173,27 @@ class Lattice:
         return self.raw_text(ids)[1:]
 
     def raw_text(self, ids) -> str:
-        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        return self.raw_bytes(ids).decode("utf-8", "replace")
+
+    def raw_bytes(self, ids) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids))
+
+
+def gives_back(lattice: Lattice, segmentations: list[tuple[float, bytes]], whole: bytes) -> bool:
+    """Whether each of the segmentations decodes to ``whole``. Ids at the start and the end that
+    one has in common with the first are compared, and decoded with the first only."""
+    best, *others = (np.frombuffer(b, "<u4") for _, b in segmentations)
+    if lattice.raw_bytes(best.tolist()) != whole:
+        return False
+    for ids in others:
+        n = min(len(ids), len(best))
+        off = np.flatnonzero(ids[:n] != best[:n])
+        lo = int(off[0]) if len(off) else n
+        off = np.flatnonzero(ids[len(ids) - n + lo :] != best[len(best) - n + lo :])
+        hi = n - lo - 1 - int(off[-1]) if len(off) else n - lo
+        if lattice.raw_bytes(ids[lo : len(ids) - hi].tolist()) != lattice.raw_bytes(best[lo : len(best) - hi].tolist()):
+            return False
+    return True
 
 
 class Found:
@@ -350,14 +370,14 @@ def piece_digests(docs: DataFrame, model: str, n_best: int = N_BEST) -> DataFram
         def step(cols):
             out: dict[str, list] = {k: [] for k in ("n_pieces", "ids_crc32", "best_score", "scores", "nbest_crc32", "exact")}
             for t in cols["text"]:
-                got, changed = enc.encode(t)
+                got = enc.encode(t)[0]
+                whole = (" " + t).encode() if t else b""
                 out["n_pieces"].append(len(got[0][1]) // 4)
                 out["ids_crc32"].append(zlib.crc32(got[0][1]))
                 out["best_score"].append(got[0][0])
                 out["scores"].append([s for s, _ in got])
                 out["nbest_crc32"].append([zlib.crc32(b) for _, b in got])
-                # words of the best one were decoded as they were learned; the others differ in these
-                out["exact"].append(all(lattice.raw_text(ids) == w for w, ids in changed))
+                out["exact"].append(gives_back(lattice, got, whole))
             return {"doc_id": cols["doc_id"]} | out
 
         return step

@@ -74,6 +74,31 @@ def test_forgetting(enc, pieces_model, monkeypatch):
         assert small.encode(text) == enc.encode(text)
 
 
+def test_whole_texts_are_decoded(spark, pieces_model, monkeypatch):
+    """Ids of a best segmentation that don't give back the text are told."""
+
+    def make(*_):
+        enc = pieces.Encoder(pieces_model)
+        _, ids, gap = enc.lattice.best(" dog")
+        enc._put(" cat", 0.0, gap, ids)
+        return enc
+
+    step = []
+    monkeypatch.setattr(pieces, "encoder", make)
+    monkeypatch.setattr(pieces, "map_rows", lambda rows, schema, make: step.append(make()))
+    pieces.piece_digests(spark.createDataFrame([(1, "a")], "doc_id long, text string"), pieces_model)
+    assert step[0]({"doc_id": [1, 2, 3], "text": ["a dog", "a cat", None]})["exact"] == [True, False, True]
+
+
+@settings(max_examples=200, database=None, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([" a", " ", "a", "b", "ab"]), max_size=6), min_size=2, max_size=4))
+def test_gives_back_as_whole_decoding(enc, cuts):
+    got = [(0.0, np.array([enc.lattice.plain[p][0] for p in cut], "<u4").tobytes()) for cut in cuts]
+    whole = "".join(cuts[0])
+    assert pieces.gives_back(enc.lattice, got, whole.encode()) == all("".join(cut) == whole for cut in cuts)
+    assert not pieces.gives_back(enc.lattice, got, whole.encode() + b"x")
+
+
 def test_odd_rows(spark, odd_docs, pieces_model):
     rows = pieces.piece_digests(odd_docs, pieces_model).collect()
     assert len(rows) == len(ODD) and all(r.exact for r in rows)
