@@ -7,7 +7,7 @@ the product of those over its words, and each distinct word is summed once, for
 languages and many words at a time.
 
 Learning sees at most ``per_language`` documents of each language (those with the smallest
-hash of their id); prediction uses the whole text and nothing else. Nulls and edge cases: a
+hash of their id), with words of any length; prediction uses the whole text and nothing else. Nulls and edge cases: a
 null text and one without letters is ``und`` with score 0; equal likelihoods go to the
 language first in order; without anything to learn from all is ``und``; null or empty
 languages are not learned; repeated rows are predicted each; other columns are ignored.
@@ -16,6 +16,7 @@ languages are not learned; repeated rows are predicted each; other columns are i
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -135,6 +136,9 @@ def expected_counts(words: Counter, vocab: Vocabulary, p: np.ndarray) -> np.ndar
     out = np.zeros(len(p))
     for w, times in words.items():
         edges = vocab.edges(w)
+        if len(w) > LONG:
+            _long_counts(out, len(w), times, edges, p)
+            continue
         fore, back = [0.0] * (len(w) + 1), [0.0] * (len(w) + 1)
         fore[0] = back[-1] = 1.0
         for i, j, k in edges:
@@ -147,6 +151,24 @@ def expected_counts(words: Counter, vocab: Vocabulary, p: np.ndarray) -> np.ndar
     return out
 
 
+def _long_counts(out: np.ndarray, n: int, times: int, edges: list[tuple[int, int, int]], p: np.ndarray) -> None:
+    """Add the expected uses in one word of any length: the same sums of logarithms."""
+    logs = np.log(p).tolist()
+    fore, back = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    fore[0] = back[-1] = 0.0
+    for i, j, k in edges:
+        fore[j] = _log_add(fore[j], fore[i] + logs[k])
+    for i, j, k in reversed(edges):
+        back[i] = _log_add(back[i], logs[k] + back[j])
+    for i, j, k in edges:
+        out[k] += times * math.exp(fore[i] + logs[k] + back[j] - fore[-1])
+
+
+def _log_add(a: float, b: float) -> float:
+    hi, lo = (a, b) if a > b else (b, a)
+    return hi if lo == -math.inf else hi + math.log1p(math.exp(lo - hi))
+
+
 def words_of(text: str) -> list[str]:
     return text.split()
 
@@ -157,7 +179,7 @@ def learn(samples: dict[str, list[str]], vocab: Vocabulary, rounds: int = 1, smo
     languages = sorted(samples)
     cols = []
     for lang in languages:
-        words = Counter(SPACE + w for t in samples[lang] for w in words_of(t) if len(w) < LONG)
+        words = Counter(SPACE + w for t in samples[lang] for w in words_of(t))
         c = np.zeros(vocab.size + 1)
         for w, pieces in zip(words, vocab.sp.encode([w[1:] for w in words], out_type=str), strict=True):
             for x in pieces:

@@ -40,6 +40,20 @@ def test_sums_over_all_segmentations(vocab, model):
     assert np.isfinite(language.log_sums(["▁" + "the" * 30_000, "▁" + "日" * 5000], vocab, model.p)).all()
 
 
+def test_long_words_are_learned(vocab):
+    """Sentences without spaces teach pieces, and long sums equal short ones."""
+    from collections import Counter
+
+    zh, ja = "今天天气很好我们一起去公园散步吧" * 30, "今日はとても天気がいいので公園へ散歩に行きましょう" * 30
+    model = language.learn({"zh": [zh], "ja": [ja]}, vocab)
+    k = [vocab.index[c] for c in zh if c in vocab.index][0]
+    assert model.p[k].max() > 10 * np.median(model.p[:-1])
+    p, word = model.p[:, 0], "▁" + zh[:12]
+    got = np.zeros(len(p))
+    language._long_counts(got, len(word), 3, vocab.edges(word), p)
+    assert np.allclose(got, language.expected_counts(Counter({word: 3}), vocab, p))
+
+
 def test_probabilities_add_up(model):
     assert np.allclose(model.p[:-1].sum(0), 1, atol=1e-4)
 
