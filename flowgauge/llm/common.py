@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows in an Arrow batch. Long texts make large rows, so a batch stays small.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch, whichever is reached first; a single row may be larger.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -37,16 +37,31 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: it survives lost executors and ends the lineage."""
-    path = f"{shared_dir(df.sparkSession, name)}/table"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same, with its folder, for ``delete`` once nothing reads the table any more."""
+    folder = shared_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(f"{folder}/table")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/table"), folder
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small where the session still has Spark's default."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches small where the session still has Spark's defaults.
+
+    Spark reads these settings when a plan runs, so they can't be limited to one plan; a
+    session that sets either of its own keeps it.
+    """
+    for key, default, ours in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", f"{BATCH_BYTES}b")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
 
 
 def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
@@ -62,7 +77,7 @@ def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Calla
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
+        step = _made(make)
         for batch in batches:
             got = step({n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)})
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
@@ -78,15 +93,25 @@ def kept(key, make: Callable):
     if key not in _kept:
         _kept.clear()
         _kept[key] = make()
+    _kept["asked"] = True
     return _kept[key]
 
 
+def _made(make: Callable):
+    """``make()``; a task that asks for nothing kept frees what an earlier one left."""
+    _kept.pop("asked", None)
+    out = make()
+    if not _kept.pop("asked", False):
+        _kept.clear()
+    return out
+
+
 def filter_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[dict[str, list]], list[bool]]]) -> DataFrame:
     """The rows of ``df``, with all its columns, for which the verdict on ``columns`` is true."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        verdict = make()
+        verdict = _made(make)
         for batch in batches:
             yield batch.filter(pa.array(verdict({c: batch.column(c).to_pylist() for c in columns}), pa.bool_()))
 

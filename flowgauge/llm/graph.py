@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import written
+from flowgauge.llm.common import delete, written_at
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -13,21 +13,25 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
     Each round links all neighbours of a node to its smallest neighbour, first the larger
     ones, then the smaller ones, until nothing changes: a number of rounds that grows with
-    the logarithm of the graph. Each round is written to the shared folder. Minima are
-    pre-aggregated before the shuffle, so a hub costs one row per task. Null ends and loops
-    are ignored; an empty graph has no components.
+    the logarithm of the graph. Each round is written to the shared folder, and deleted once
+    the next one is. Minima are pre-aggregated before the shuffle, so a hub costs one row per
+    task. Null ends and loops are ignored; an empty graph has no components.
     """
+    spark = edges.sparkSession
     pairs = edges.where("a is not null and b is not null and a <> b")
-    star = written(pairs.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), name)
+    star, at = written_at(pairs.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), name)
     state = _state(star)
     while state[0]:
         both = star.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(star.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        least = written(least, name)  # so that Spark can split the neighbours of a hub over tasks
+        least, least_at = written_at(least, name)  # so that Spark can split the neighbours of a hub over tasks
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        star = written(low.select("hi", F.col("m").alias("lo")).union(small).distinct(), name)
+        star, new_at = written_at(low.select("hi", F.col("m").alias("lo")).union(small).distinct(), name)
+        for old in (at, least_at):
+            delete(spark, old)
+        at = new_at
         before, state = state, _state(star)
         if state == before:
             break

@@ -20,6 +20,8 @@ SEED = 20240229
 #: Files of the license scan: twenty documents a directory, twenty directories above, each level with a licence file.
 FILES = """SELECT doc_id, CASE WHEN doc_id % 400 = 0 THEN concat('lib', {a}, '/LICENSE')
   WHEN doc_id % 20 = 0 THEN concat('lib', {a}, '/part', {b}, '/LICENSE.txt') ELSE concat('lib', {a}, '/part', {b}, '/doc', doc_id, '.txt') END AS path, text FROM {t}"""
+#: Redirects for the url filter, as the pages have none: each page whose id leaves 1, 2 or 3 by five moved to the page before it.
+MOVED = "SELECT a.url AS url, b.url AS target FROM {pages} a JOIN {pages} b ON a.page_id = b.page_id + 1 WHERE a.page_id % 5 IN (1, 2, 3)"
 SAID = r"\### Assistant: </turn> ok"
 
 
@@ -41,7 +43,12 @@ def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(read_table(spark, sf_dir, "pages"), urls.RULES).select("page_id", "host", "path", "rule", "verdict")
+    """``verdict`` by the links of the pages; ``moved_verdict`` with the redirects of MOVED, too."""
+    pages = read_table(spark, sf_dir, "pages")
+    edges = urls.alias_edges(urls.link_edges(pages))
+    moved = urls.alias_edges(spark.sql(MOVED, pages=pages), edges)
+    rows = urls.decide(urls.ruled(pages, urls.RULES), urls.RULES, edges)
+    return urls.decide(rows, urls.RULES, moved, "moved_verdict").select("page_id", "host", "path", "rule", "verdict", "moved_verdict")
 
 
 def op5_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_poisson_mixing": f"WITH mixed AS ({mixing.oracle(WEIGHTS, SEED)}) SELECT m.*, d.text FROM mixed m JOIN documents d USING (doc_id)",
-        "op4_redirect_equivalence": urls.oracle(urls.RULES),
+        "op4_redirect_equivalence": urls.oracle(urls.RULES, MOVED.format(pages="pages")),
         "op6_license_tfidf": licenses.oracle(licenses.Model(), FILES.format(a="doc_id // 400", b="(doc_id // 20) % 20", t="documents")),
         "op9_prefix_tree_join": OP9_SQL,
     }
