@@ -9,8 +9,10 @@ Records of one conversation are ordered by turn; a conversation is written in se
 per turn, and never held as a whole. Nulls and edge cases: null text is empty; a null role
 stays null through the round trip; rows of a null conversation id form one conversation;
 turns of equal number are ordered by role and text, and repeated rows are all kept; a
-layout without mapping, or broken JSON, gives no turns and ``layout`` null; an empty table
-gives no rows; fields that no mapping names are ignored.
+layout without mapping, broken JSON, or JSON nested too deep to read, gives no turns and
+``layout`` null; half a surrogate pair, which no UTF-8 text can hold, becomes U+FFFD; an
+empty table gives no rows; fields that no mapping names are ignored. Rows of one conversation
+meet in one task, as a stream whose sort can spill; so do those without conversation id.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ class Layout:
     roles: tuple[tuple[str, str], ...] = ()
 
 
+#: Half a surrogate pair.
+LONE = re.compile("[\ud800-\udfff]")
 NAMES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 LAYOUTS = [
     Layout("turn", ("role", "text"), role="role", text="text"),
@@ -89,9 +93,9 @@ class Registry:
         """The layout's name and the canonical turns of a JSON record."""
         try:
             record = json.loads(text or "")
-        except ValueError:
+            x = self.layout(record)
+        except (ValueError, RecursionError):
             return None, []
-        x = self.layout(record)
         if x is None:
             return None, []
         roles, out = dict(x.roles), []
@@ -100,9 +104,9 @@ class Registry:
             if said or role != "system":
                 out.append((role, "\n\n".join(said)))
         if x.role:
-            for e in _at(record, x.each) if x.each else [record]:
+            for e in (_at(record, x.each) or []) if x.each else [record]:
                 role = _at(e, x.role)
-                role = role if role is None or isinstance(role, str) else _text(role)
+                role = role if role is None else _text(role)
                 out.append((roles.get(role, role), _text(_at(e, x.text))))
         return x.name, out
 
@@ -116,7 +120,12 @@ def _at(value: Any, path: str) -> Any:
 def _text(value: Any) -> str:
     if value is None:
         return ""
-    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return sound(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False))
+
+
+def sound(text: str) -> str:
+    """``text`` with U+FFFD for each half of a surrogate pair."""
+    return text if text.isascii() else LONE.sub("\ufffd", text)
 
 
 #: The template: ``### role: text </turn>`` and a line end. In texts a backslash precedes each
@@ -258,3 +267,19 @@ def digests(segments: DataFrame) -> DataFrame:
             yield rows([row()])
 
     return segments.mapInArrow(run, DIGEST)
+
+
+def oracle(rows: str) -> str:
+    """DuckDB SQL of the digests of the conversations of ``rows``, SQL for (conv_id, turn, role, text)."""
+    order = "ORDER BY turn NULLS FIRST, role NULLS FIRST, text"
+    assistant = f"FILTER (role = '{LEARN}')"
+    runs = "coalesce(list_sum(list_transform(regexp_extract_all(text, '###+'), lambda x: length(x) - 2)), 0)"
+    body = rf"length(text) + length(text) - length(replace(text, '\', '')) + {runs} + len(string_split(text, '</turn>')) - 1"
+    role = r"CASE WHEN role IS NULL THEN 2 ELSE length(regexp_replace(role, '[\\:#<\n]', '..', 'g')) END"
+    fixed = len(OPEN + MID + CLOSE)
+    return f"""
+WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM ({rows}))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' {order})) AS turns_sha256,
+  coalesce(sum(length(text)) {assistant}, 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' {order}) {assistant}, '')) AS loss_sha256,
+  sum({fixed} + {role} + {body})::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id"""

@@ -6,11 +6,14 @@ pieces, by the forward algorithm. Pieces don't cross white space, so the sum ove
 the product of those over its words, and each distinct word is summed once, for all
 languages and many words at a time.
 
-Learning sees at most ``per_language`` documents of each language (those with the smallest
-hash of their id), with words of any length; prediction uses the whole text and nothing else. Nulls and edge cases: a
-null text and one without letters is ``und`` with score 0; equal likelihoods go to the
-language first in order; without anything to learn from all is ``und``; null or empty
-languages are not learned; repeated rows are predicted each; other columns are ignored.
+Learning sees whole texts of at most ``per_language`` documents of each language, in the order
+of a hash of their id, and no further ones once these have ``chars`` characters; it learns the
+``languages`` languages with the most documents. These bounds are parameters. Prediction uses
+the whole text and nothing else. Nulls and edge cases: a null text and one without letters
+(characters of the Unicode categories of letters; numerals such as U+00BD aren't) is ``und``
+with score 0; equal likelihoods go to the language first in order; without anything to learn
+from all is ``und``; null or empty languages are not learned; repeated rows are predicted
+each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import compress, repeat
@@ -32,13 +36,18 @@ from flowgauge.llm.common import filter_rows, kept, map_rows
 
 SPACE = "▁"
 UNKNOWN = "und"
+#: Letters, and numerals that aren't decimal digits.
 LETTER = re.compile(r"[^\W\d_]")
-PER_LANGUAGE = 300
+#: What learning sees at most: documents and characters of a language, and languages.
+PER_LANGUAGE, CHARS, LANGUAGES = 300, 1_000_000, 128
 #: Probability of a character that no piece covers, the same in each language.
 STRANGE = 1e-9
 #: Words longer than this are summed with scaling, one at a time.
 LONG = 24
-CACHE = 700_000
+#: Bytes of words and their sums, about, that a Python worker remembers.
+CACHE = 160 << 20
+#: Bytes of a remembered word besides its characters and sums.
+ENTRY = 180
 
 
 class Vocabulary:
@@ -54,22 +63,20 @@ class Vocabulary:
         #: Index of each prefix that is a piece, -1 of those that only begin one.
         self.walk = {p: self.index.get(p, -1) for p in self.prefixes}
 
-    def edges(self, word: str) -> list[tuple[int, int, int]]:
+    def edges(self, word: str) -> Iterator[tuple[int, int, int]]:
         """(start, end, piece) of all pieces in a word, by start."""
         index, prefixes, n, longest, strange = self.index, self.prefixes, len(word), self.longest, self.size
-        out = []
         for i in range(n):
             single = False
             for j in range(i + 1, min(n, i + longest) + 1):
                 k = index.get(w := word[i:j])
                 if k is not None:
-                    out.append((i, j, k))
+                    yield i, j, k
                     single |= j == i + 1
                 elif w not in prefixes:
                     break
             if not single:
-                out.append((i, i + 1, strange))
-        return out
+                yield i, i + 1, strange
 
 
 @dataclass
@@ -135,7 +142,7 @@ def expected_counts(words: Counter, vocab: Vocabulary, p: np.ndarray) -> np.ndar
     """Expected uses of each piece over all segmentations, by forward and backward sums."""
     out = np.zeros(len(p))
     for w, times in words.items():
-        edges = vocab.edges(w)
+        edges = list(vocab.edges(w))
         if len(w) > LONG:
             _long_counts(out, len(w), times, edges, p)
             continue
@@ -173,6 +180,13 @@ def words_of(text: str) -> list[str]:
     return text.split()
 
 
+def has_letter(text: str) -> bool:
+    m = LETTER.search(text)
+    while m and not m[0].isalpha():
+        m = LETTER.search(text, m.end())
+    return m is not None
+
+
 def learn(samples: dict[str, list[str]], vocab: Vocabulary, rounds: int = 1, smooth: float = 0.05) -> Model:
     """Piece probabilities from texts by language: counts of the vocabulary's own segmentation
     to begin with, then rounds of expectation maximisation; add-``smooth`` throughout."""
@@ -199,7 +213,7 @@ class Predictor:
     def __init__(self, model: Model, vocab: Vocabulary):
         self.model, self.vocab = model, vocab
         self.at: dict[str, int] = {}
-        self.rows = np.empty((1024, len(model.languages)))
+        self.rows, self.held = np.empty((1024, len(model.languages))), 0
 
     def _places(self, words: list[list[str]]) -> list[list[int]]:
         """The row of each word of each text."""
@@ -207,9 +221,11 @@ class Predictor:
         new = set().union(*(compress(ws, map(is_, ks, repeat(None))) for ws, ks in zip(words, found, strict=True) if None in ks))
         if not new:
             return found
-        if len(self.at) + len(new) > CACHE and self.at:  # begin anew with this batch
-            self.at = {}
+        more = sum(map(len, new)) + (ENTRY + 8 * self.rows.shape[1]) * len(new)
+        if self.held + more > CACHE and self.at:  # begin anew with this batch
+            self.at, self.rows, self.held = {}, np.empty((1024, self.rows.shape[1])), 0
             return self._places(words)
+        self.held += more
         lo, hi = len(self.at), len(self.at) + len(new)
         if hi > len(self.rows):
             self.rows = np.concatenate([self.rows, np.empty((hi, self.rows.shape[1]))])
@@ -223,7 +239,7 @@ class Predictor:
         """Language and its posterior under even odds."""
         if not self.model.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
-        places = self._places([words_of(t) if t and LETTER.search(t) else [] for t in texts])
+        places = self._places([words_of(t) if t and has_letter(t) else [] for t in texts])
         out = []
         for ks in places:
             if not ks:
@@ -246,12 +262,19 @@ def predictor(model: Model, vocabulary: str) -> Predictor:
     return kept(("language", key), lambda: Predictor(model, vocabulary_of(vocabulary)))
 
 
-def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, list[str]]:
-    """Whole texts by language, at most ``per_language`` each; reads texts of the chosen ids only."""
+def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = CHARS, languages: int = LANGUAGES) -> dict[str, list[str]]:
+    """Whole texts by language, within the bounds; reads texts of the chosen ids only."""
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    ids = cols.where("lang is not null and trim(lang) <> '' and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    able = cols.where("doc_id is not null and lang is not null and trim(lang) <> '' and text is not null")
+    rows = cols.where("lang is not null and trim(lang) <> ''").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    # of each language only ids with a hash so small that some four times as many as asked for remain: none to sort by the million
+    small = [(r.lang, -(1 << 63) + min((1 << 64) - 1, (per_language * 4 << 64) // r.n)) for r in rows]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(small, "lang string, most long"))
+    ids = able.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.length("text").alias("size")).join(limits, "lang").where("h <= most")
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = ids.select("doc_id", "lang", F.row_number().over(order).alias("n")).where(F.col("n") <= per_language).select("doc_id", "lang").distinct()
+    first = ids.groupBy("lang", "doc_id", "h").agg(F.min("size").alias("size")).select("*", F.row_number().over(order).alias("n")).where(F.col("n") <= per_language)
+    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    chosen = first.select("doc_id", "lang", F.coalesce(before, F.lit(0)).alias("before")).where(F.col("before") < chars).select("doc_id", "lang")
     known = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, lang string")
     # one text for an id, however often its row is repeated
     rows = cols.join(F.broadcast(known), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
@@ -261,8 +284,8 @@ def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[st
     return out
 
 
-def train(docs: DataFrame, vocabulary: str, per_language: int = PER_LANGUAGE) -> Model:
-    return learn(training_texts(docs, per_language), vocabulary_of(vocabulary))
+def train(docs: DataFrame, vocabulary: str, per_language: int = PER_LANGUAGE, chars: int = CHARS, languages: int = LANGUAGES) -> Model:
+    return learn(training_texts(docs, per_language, chars, languages), vocabulary_of(vocabulary))
 
 
 def identify(docs: DataFrame, model: Model, vocabulary: str) -> DataFrame:

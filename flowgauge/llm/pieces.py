@@ -35,8 +35,10 @@ from flowgauge.llm.common import kept, map_rows
 SPACE = "▁"
 #: Cost of a character that has no piece, below the lowest score of a piece.
 UNKNOWN = 10.0
-#: Distinct words that a Python worker remembers.
-CACHE = 1_500_000
+#: Bytes of words and their ids, about, that a Python worker remembers besides those of the text at hand.
+CACHE = 256 << 20
+#: Bytes of a remembered word besides its characters and ids; bytes of a character with its ids.
+ENTRY, CHARACTER = 190, 5
 #: Words with their leading spaces; line ends and U+2581 alone.
 WORDS = re.compile(r" *[^ \n▁]+|\n|▁| +")
 #: Letters, and digits that aren't decimal ones.
@@ -211,8 +213,12 @@ class Found:
         return self.got[k]
 
 
+def _cost(words) -> int:
+    return sum(ENTRY + CHARACTER * len(w) for w in words)
+
+
 class Encoder:
-    """Encodes texts; what it knows of words is kept in arrays, of a bounded number of words."""
+    """Encodes texts; what it knows of words is kept in arrays of bounded size."""
 
     def __init__(self, model: str, n_best: int = N_BEST):
         self.lattice, self.n = Lattice(model), n_best
@@ -224,13 +230,14 @@ class Encoder:
         """Best score, gap to the second best, uses, and where the ids begin and how many they are."""
         self.score, self.gap, self.hits = np.zeros(1024), np.zeros(1024), np.zeros(1024, np.int8)
         self.start, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
+        self.held = 0
 
     def _places(self, words: list[str]) -> np.ndarray:
         """The place of each word in the arrays."""
         found = list(map(self.at.get, words))
         if None in found:
             new = set(compress(words, map(is_, found, repeat(None))))
-            if len(self.at) + 2 * len(new) > CACHE:  # a word may bring its letters along
+            if self.held + 2 * _cost(new) > CACHE:  # a word may bring its letters along
                 self._forget(set(words))
                 new = set(words).difference(self.at)
             for w in new:
@@ -267,12 +274,13 @@ class Encoder:
         self.ids[self.used : self.used + n] = ids
         self.score[k], self.gap[k], self.hits[k], self.start[k], self.size[k] = score, gap, 0, self.used, n
         self.used += n
+        self.held += ENTRY + CHARACTER * len(w)
         return k
 
     def _forget(self, now: set[str]) -> None:
         """Keep words of this text, and those seen in two texts or more since the last time, if they are few."""
         kept = [(w, k) for w, k in self.at.items() if self.hits[k] > 1 or w in now]
-        if len(kept) > CACHE // 2:
+        if _cost(w for w, _ in kept) > CACHE // 2:
             kept = [(w, k) for w, k in kept if w in now]
         rows = [(w, self.score[k], self.gap[k], self._own(k)) for w, k in kept]
         self.at = {}

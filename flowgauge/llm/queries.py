@@ -89,7 +89,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    said = f"(-7, 0, 'user', '{SAID}'), (-7, 1, 'assistant', '{SAID}')"
     return {
+        "op1_chat_formatting": chat.oracle(f"SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES {said}"),
+        "op5_signature_sniffing": media.oracle(),
         "op2_poisson_mixing": f"WITH mixed AS ({mixing.oracle(WEIGHTS, SEED)}) SELECT m.*, d.text FROM mixed m JOIN documents d USING (doc_id)",
         "op4_redirect_equivalence": urls.oracle(urls.RULES, MOVED.format(pages="pages")),
         "op6_license_tfidf": licenses.oracle(licenses.Model(), FILES.format(a="doc_id // 400", b="(doc_id // 20) % 20", t="documents")),

@@ -8,12 +8,16 @@ vocabulary fits, else 32-bit. ``part-NNNNN.idx`` has ``doc_id i64 | offset u64 |
 u64`` per record, so readers can visit records in any order.
 
 Nulls and ties: a null text is empty (its record holds the end id alone); a null doc_id is
-kept, flagged, and sorts first; rows with equal doc_id are all kept, ordered by text. An
-empty table makes a folder without records. Other columns are ignored.
+kept, flagged, and sorts first; rows with equal doc_id are all kept, ordered by a hash of the
+text and then by the text, so that very many of them are dealt over several shards. An empty
+table makes a folder without records. Other columns are ignored. The string of a special
+token inside a text gets that token's id, as the tokenizers library does by default; with
+``spell_special`` it is spelled out as ordinary text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -33,8 +37,12 @@ from flowgauge.llm.common import kept, shared_dir, small_batches
 
 HEAD, TAIL, INDEX, PAYLOAD = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qQQ"), struct.Struct("<qB")
 NULL_ID, WIDE = 1, 2
-#: Distinct words whose ids a Python worker remembers.
-CACHE = 1_500_000
+#: Bytes of words and their ids, about, that a Python worker remembers.
+CACHE = 192 << 20
+#: Bytes of a remembered word besides its characters and ids.
+ENTRY = 180
+#: Bytes of input, as Spark estimates them, for a shard.
+SHARD = 256 << 20
 #: White space besides spaces and line ends: such texts are encoded whole.
 ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
@@ -85,19 +93,29 @@ class WordEncoder:
 
     Its splitting rule always starts a new piece at a space that a non-space follows, and cuts
     on both sides of a single line end, so a text can be encoded word by word, and a distinct
-    word needs the library only once. Texts with runs of white space go to the library whole.
+    word needs the library only once. Texts with runs of white space or with special tokens go
+    to the library whole, and with a tokenizer of another form all texts do.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spell_special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings inside a text are ordinary text
+        self.tok.encode_special_tokens = spell_special
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.odd = [*ODD, *added]
+        form = json.loads(self.tok.to_str())
+        cut = form["pre_tokenizer"] or {}
+        self.by_word = (
+            form["normalizer"] is None and form["truncation"] is None and form["padding"] is None and form["model"]["type"] == "BPE" and not form["model"].get("dropout")
+            and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"]
+        )
         self.wide = self.tok.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.line_end = self.tok.encode("\n", add_special_tokens=False).ids[0]
+        self.line_end = self.tok.encode("\n", add_special_tokens=False).ids[0] if self.by_word else None
         self.known: dict[str, bytes] = {}  # ids of a space or line end and the word
+        self.held = 0
 
     def _many(self, texts: list[str]) -> list[bytes]:
         return [array(self.kind.char, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -121,8 +139,10 @@ class WordEncoder:
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; texts that aren't cut at all spaces are encoded whole."""
+        if not self.by_word:
+            return self._many(texts)
         parts = [t.replace("\n", " \n").split(" ") for t in texts]  # a line end stays with the word behind it
-        whole = [k for k, (t, ws) in enumerate(zip(texts, parts, strict=True)) if "" in ws[1:] or "\n " in t or "\n\n" in t or any(map(t.__contains__, ODD))]
+        whole = [k for k, (t, ws) in enumerate(zip(texts, parts, strict=True)) if "" in ws[1:] or "\n " in t or "\n\n" in t or any(map(t.__contains__, self.odd))]
         heads = self._many([ws[0] for ws in parts])
         for k, data in zip(whole, self._many([texts[k] for k in whole]), strict=True):
             heads[k], parts[k] = data, [""]
@@ -131,9 +151,12 @@ class WordEncoder:
         found = [list(map(self.known.get, ws)) for ws in parts]
         lacks = [list(compress(ws, map(is_, ids, repeat(None)))) for ws, ids in zip(parts, found, strict=True)]
         got = self._words(list(set().union(*lacks)))
-        if len(self.known) + len(got) > CACHE:
-            self.known = {}
-        self.known.update(got)
+        more = sum(map(len, got)) + sum(map(len, got.values())) + ENTRY * len(got)
+        if self.held + more > CACHE:
+            self.known, self.held = {}, 0
+        if more <= CACHE:
+            self.known.update(got)
+            self.held += more
         out = []
         for head, ws, ids, lack in zip(heads, parts, found, lacks, strict=True):
             if lack:
@@ -142,16 +165,23 @@ class WordEncoder:
         return out
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, spell_special: bool = False) -> WordEncoder:
     """A Python worker keeps what it knows of words from task to task."""
-    return kept(("records", path), lambda: WordEncoder(path))
+    return kept(("records", path, spell_special), lambda: WordEncoder(path, spell_special))
+
+
+def shards_for(docs: DataFrame) -> int:
+    """As many shards as there are shuffle partitions, or more if the input is large."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-size // SHARD)) if size < 1 << 60 else least  # beyond: unknown to Spark
 
 
 def _opened(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, shards: int | None = None) -> list[tuple[int, int, int]]:
+def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, shards: int | None = None, spell_special: bool = False) -> list[tuple[int, int, int]]:
     """Encode ``text`` and write shards in ascending ``doc_id`` order.
 
     Returns (shard, records, ids) of each shard in order: one small row per shard, the only
@@ -160,23 +190,22 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
     """
     spark = docs.sparkSession
     small_batches(spark)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or shards_for(docs)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
         store, base = _opened(folder)
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, spell_special)
         size = enc.kind.itemsize
         end = b"" if end_id is None else end_id.to_bytes(size, "little")
         own = f"{base}/.attempt-{uuid.uuid4().hex}"
         records = total = at = 0
         with store.open_output_stream(f"{own}.rec") as rec, store.open_output_stream(f"{own}.idx") as idx:
             for batch in batches:
-                ids = batch.column(0).to_pylist()
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                for doc_id, tokens in zip(ids, enc.encode_bytes(texts), strict=True):
+                for doc_id, tokens in zip(batch.column(0).to_pylist(), enc.encode_bytes(texts), strict=True):
                     tokens += end
                     data = frame(to_payload(doc_id, tokens, enc.wide))
                     rec.write(data)
@@ -188,8 +217,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
         yield pa.RecordBatch.from_pydict({"shard": [shard], "records": [records], "ids": [total]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sorted_rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    got = sorted_rows.mapInArrow(write, "shard long, records long, ids long").collect()
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    sorted_rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    got = sorted_rows.select("doc_id", "text").mapInArrow(write, "shard long, records long, ids long").collect()
     return sorted((r.shard, r.records, r.ids) for r in got)
 
 

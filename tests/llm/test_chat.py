@@ -65,6 +65,24 @@ def test_prints_differ():
     assert chat.Registry().turns("{broken") == (None, []) and chat.Registry().turns(None) == (None, [])
 
 
+BAD = ["[" * 3000 + "]" * 3000, '{"role": "user", "text": ' + "[" * 2000 + "]" * 2000 + "}", '{"messages": {"role": "a"}}', '{"messages": []}', '{"messages": [3, null]}', "7", "null", "NaN", "", "{broken", "1" * 5000]
+
+
+@pytest.mark.parametrize("k", range(len(BAD)))
+def test_bad_records_give_no_turns(k):
+    assert chat.Registry().turns(BAD[k]) == (None, [])
+
+
+def test_deep_and_half_characters(spark):
+    """Values below the layouts' paths may be nested; half a surrogate pair is no text."""
+    deep = '{"role": "user", "text": "t", "extra": ' + "[" * 300 + "]" * 300 + "}"
+    rows = [(1, 0, r'{"role": "us\ud800er", "text": "a\ud800b \ud83d\ude00"}'), (2, 0, deep), (3, 0, BAD[0]), (4, 0, r'{"role": "user", "text": {"\udfff": 1}}')]
+    turns = chat.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, record string"))
+    got = {r.conv_id: (r.role, r.text) for r in turns.collect()}
+    assert got == {1: ("us\ufffder", "a\ufffdb \U0001f600"), 2: ("user", "t"), 3: (None, None), 4: (None, None)}
+    assert chat.digests(chat.format_turns(turns)).count() == 2
+
+
 def test_conversations(spark):
     turns = [{"role": "user", "text": "hi\n### "}, {"role": "assistant", "text": None}, {"role": None, "text": "x"}]
     rows = [(1, 0, turns[0]), (1, 1, turns[1]), (1, 1, turns[1]), (None, 5, turns[2]), (2, None, {"messages": [{"role": "assistant", "content": "a"}, {"role": "assistant", "content": "b"}]}), (3, 0, {"odd": 1})]

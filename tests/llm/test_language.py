@@ -27,7 +27,7 @@ def model(vocab):
 
 def test_sums_over_all_segmentations(vocab, model):
     def brute(word):
-        edges = vocab.edges(word)
+        edges = list(vocab.edges(word))
 
         def to(j):
             return np.ones(2) if not j else sum(to(i) * model.p[k] for i, e, k in edges if e == j)
@@ -50,7 +50,7 @@ def test_long_words_are_learned(vocab):
     assert model.p[k].max() > 10 * np.median(model.p[:-1])
     p, word = model.p[:, 0], "▁" + zh[:12]
     got = np.zeros(len(p))
-    language._long_counts(got, len(word), 3, vocab.edges(word), p)
+    language._long_counts(got, len(word), 3, list(vocab.edges(word)), p)
     assert np.allclose(got, language.expected_counts(Counter({word: 3}), vocab, p))
 
 
@@ -64,7 +64,7 @@ def test_expected_counts_by_hand(vocab):
 
     got = language.expected_counts(Counter({"▁an": 2}), vocab, p)
     ways = []
-    edges = vocab.edges("▁an")
+    edges = list(vocab.edges("▁an"))
 
     def walk(j, used):
         if not j:
@@ -92,6 +92,29 @@ def test_held_out(spark, pieces_model):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_numerals_are_no_letters(model, vocab):
+    got = language.Predictor(model, vocab).predict(["½ 12", "² ³", "Ⅷ", "½ the", "١٢", None, ""])
+    assert [k for k, _ in got] == ["und", "und", "und", "en", "und", "und", "und"] and got[0][1] == 0
+
+
+def test_bounds_of_learning(spark):
+    rows = [(k, "ab " * 50, f"l{k % 3}") for k in range(60)] + [(99, "z" * 1000, "rare"), (None, "x", "l0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = language.training_texts(docs, 10, 10_000, 9)
+    assert {k: len(v) for k, v in got.items()} == {"l0": 10, "l1": 10, "l2": 10, "rare": 1}
+    assert {k: len(v) for k, v in language.training_texts(docs, 10, 301, 3).items()} == {"l0": 3, "l1": 3, "l2": 3}
+
+
+def test_small_cache(model, vocab, monkeypatch):
+    rng = random.Random(3)
+    texts = [text(rng, EN + DE, 8) for _ in range(60)]
+    want = language.Predictor(model, vocab).predict(texts)
+    monkeypatch.setattr(language, "CACHE", 4000)
+    small = language.Predictor(model, vocab)
+    assert [small.predict([t])[0] for t in texts] == [(k, pytest.approx(s)) for k, s in want]
+    assert small.held <= 4000 or len(small.at) < 12
+
+
 def test_odd_rows(spark, odd_docs, pieces_model, model):
     got = {r.doc_id: r for r in language.identify(odd_docs, model, pieces_model).collect()}
     assert {got[k].lang_pred for k in (2, 3, 5)} == {"und"} and got[2].score == 0

@@ -62,11 +62,43 @@ def test_hits_as_search(auto, b):
         assert 0 < p.offset < p.offset + p.length <= len(b)
 
 
+@pytest.mark.parametrize("unit", [b"%PDF-", b"\x1f\x8b\x08\x08", b"\xff\xd8\xff\xe0\x00\x06", b"GIF89a", b"\xff\xd8\xff\xda\x00\x02", b"\x89PNG\r\n\x1a\n", b"RIFF\xff\xff\x00\x00WAVE"])
+def test_time_grows_with_length(auto, unit):
+    """Many hits in one value don't each search the rest of it."""
+    import time
+
+    began = time.time()
+    assert media.sniff(unit * (600_000 // len(unit)) + b"\0", auto)[2] == []
+    assert time.time() - began < 15
+
+
+@settings(max_examples=150, database=None)
+@given(st.lists(st.sampled_from([m for m, *_ in media.FORMATS] + list(FILES.values()) + [JPEG[2:], GIF[13:], b"\xff\xe0\x00\x04ab", b"!\xf9\x01", b"\0", b",\0\0\0"]), max_size=8).map(b"".join))
+def test_walks_that_failed_are_remembered(b):
+    """A walk that is told where earlier ones failed ends as one that isn't."""
+    for magic, _, check in media.FORMATS:
+        seen = {}
+        for at in range(len(b)):
+            if b.startswith(magic, at):
+                assert check(b, at, seen) == check(b, at, {})
+
+
+def test_gzip_headers(auto):
+    import io
+
+    out = io.BytesIO()
+    with gzip.GzipFile("a name", "wb", fileobj=out) as f:
+        f.write(b"hello" * 500)
+    b = out.getvalue()
+    assert media.sniff(b"x" + b + b"y", auto)[2] == [media.Part("application/gzip", 1, len(b))]
+    assert media.sniff(b[:-3] + b"zzz", auto)[0] == media.UNKNOWN
+
+
 @settings(max_examples=200, database=None)
 @given(st.binary(max_size=500))
 def test_wav_is_lossless(samples):
     b = media.to_wav(samples)
-    assert media.from_wav(b) == samples and media.wav(b, 0) == len(b)
+    assert media.from_wav(b) == samples and media.wav(b, 0, {}) == len(b)
 
 
 def test_odd_rows(spark, odd_docs):
@@ -83,3 +115,9 @@ def test_odd_rows(spark, odd_docs):
     assert media.media_features(media.store_texts(odd_docs.limit(0))).count() == 0
     null = spark.createDataFrame([(1, None, None)], "doc_id long, declared string, media binary")
     assert [tuple(r) for r in media.sniff_media(null).collect()] == [(1, None, None, 0, [])]
+    rows = [(1, 5, None, None), (2, 5, "audio/wav", b"no wav"), (3, 0, None, b""), (4, 0, "audio/wav", media.to_wav(b"")), (5, 1, "x", FILES["image/png"]), (6, 3, "audio/wav", FILES["audio/wav"][:-2])]
+    other = spark.createDataFrame(rows, "doc_id long, n_bytes long, declared string, media binary")
+    got = {r.doc_id: r for r in media.media_features(other).collect()}
+    assert got[1].feature is None and got[1].media_bytes is None
+    assert [got[k].payload_bytes for k in (2, 3, 4, 5, 6)] == [None, None, 0, None, None]
+    assert [got[k].feature.split(";")[1] for k in (2, 3, 4, 5)] == ["type=application/octet-stream", "type=application/octet-stream", "type=audio/wav", "type=image/png"]

@@ -67,7 +67,7 @@ def test_composed_words(enc, word):
 
 
 def test_forgetting(enc, pieces_model, monkeypatch):
-    monkeypatch.setattr(pieces, "CACHE", 40)
+    monkeypatch.setattr(pieces, "CACHE", 9000)
     small = pieces.Encoder(pieces_model)
     for k in range(60):
         text = " ".join(f"word{k * j} the and" for j in range(k % 30))

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from flowgauge.llm import language, mixing, pieces, quality
+from flowgauge.llm import mixing, pieces, quality
 from flowgauge.llm.common import written
 from flowgauge.llm.queries import PIECES, SEED, WEIGHTS
 from tests.llm.conftest import brute_components
@@ -34,7 +34,7 @@ def test_stages(spark, steps):
     for df in steps[1:5]:
         assert df.dtypes == docs.dtypes
     texts = {r.doc_id: r.text for r in docs.collect()}
-    assert ids(known) == Counter(i for i, t in texts.items() if language.LETTER.search(t or ""))
+    assert ids(known) == Counter(i for i, t in texts.items() if any(map(str.isalpha, t or "")))
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = quality.train(known, labels)
     keep = lambda t: (lambda f: model.score(np.array([f[1]]))[0] >= 0.5 and not (f[0][0] < 10 or 100 * f[0][4] > 20 * f[0][0]))(quality.features(t))

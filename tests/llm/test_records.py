@@ -49,6 +49,44 @@ def test_words_as_whole(enc, texts):
     assert [x.tolist() for x in enc.encode(texts)] == want
 
 
+def test_special_tokens(bpe, enc, monkeypatch):
+    """By default as the plain call of the library, whose ids for them are special; else spelled out."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(bpe)
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>\ny", "no end"]
+    assert [x.tolist() for x in enc.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert enc.encode(texts)[0].tolist() == [50256]
+    spelled = records.WordEncoder(bpe, spell_special=True)
+    plain.encode_special_tokens = True
+    assert [x.tolist() for x in spelled.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(records, "CACHE", 2000)
+    for k in range(30):
+        t = " ".join(f"word{k * j} the" for j in range(k))
+        assert enc.encode([t])[0].tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert enc.held <= 2000 or len(enc.known) > 30
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other, plain = records.WordEncoder(path), Tokenizer.from_file(path)
+    texts = ["The Cat  sat,\non a mat", "", "ÉÉ é"]
+    assert not other.by_word
+    assert [x.tolist() for x in other.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_many_rows_of_one_id(spark, bpe):
+    """They are dealt over several shards, and the number of shards grows with the input."""
+    docs = spark.range(400).selectExpr("7L as doc_id", "concat('text ', id) as text")
+    folder = shared_dir(spark, "test")
+    shards = records.write_records(docs, folder, bpe, 2, shards=4)
+    assert sum(n for _, n, _ in shards) == 400 and max(n for _, n, _ in shards) < 300
+    assert records.shards_for(docs) == 4
+
+
 def test_written_and_read_back(spark, odd_docs, bpe, enc):
     folder = shared_dir(spark, "test")
     shards = records.write_records(odd_docs, folder, bpe, 2, shards=5)
