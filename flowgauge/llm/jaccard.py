@@ -12,8 +12,11 @@
    sets, in one global order, are stored in a prefix tree; a probe walks the tree, sharing
    the partial overlap of common prefixes, and leaves a subtree when the n-grams that remain
    on either side can't reach the threshold, or when all of it is already linked with it.
-   Large clusters are cut into blocks, and each pair of blocks is a group of its own.
-4. Components over the links and the copies give the result.
+4. A cluster too large for a task is first linked with some of its own sets, the pivots, in a
+   few rounds of one pass each. Its largest component so far need not be compared within
+   itself; what is left over is dealt in blocks, each of which meets the other left-over
+   blocks and the blocks of that component. So a group of near copies costs a few passes.
+5. Components over the links and the copies give the result.
 
 Nulls and edge cases: without words or text a set is empty and linked with nothing; fewer
 words than n make one n-gram; rows with a null doc_id take part, and get the smallest doc_id
@@ -36,10 +39,15 @@ from flowgauge.llm.graph import connected_components
 
 #: N-grams of a block of a cluster: bounds what a task holds.
 BLOCK = 250_000
+#: Sets with which all of a large cluster is compared in a round, and rounds.
+PIVOTS, ROUNDS = 16, 3
+#: Signatures, and documents, that a task pools before it gives them on: a signature that very
+#: many sets have counts once for so many, which bounds the rows of one signature that meet.
+POOL, POOL_ROWS = 1_000_000, 50_000
 #: Ids that may be broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
-#: Sets of which a task remembers that it has signed them.
-SIGNED = 500_000
+#: Sets of which a task remembers that it has signed them (some 100 bytes each).
+SIGNED = 300_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -119,81 +127,99 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def pooled(owners: list[int], signs: list[list[tuple[int, np.ndarray]]]) -> list[list[dict]]:
-    """Pre-aggregate the signatures of a batch of classes.
+def pooled(owners: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pre-aggregate signatures: of the owners that share one the first holds it, and the others
+    name that one as their peer. Returns for each signature whether it has a peer, the peer, and
+    whether it is held for others."""
+    _, first, back, count = np.unique(sigs, return_index=True, return_inverse=True, return_counts=True)
+    holder = first[back]
+    many, own = (count > 1)[back], holder == np.arange(len(sigs))
+    return many & ~own, owners[holder], many & own
 
-    Of the classes of the batch that share a signature the first one holds it, and the others
-    name that one as their peer, with the signature: that one may be left out later, and they not.
-    """
-    lengths = [len(sigs) for levels in signs for _, sigs in levels]
-    if not lengths:
-        return [[] for _ in signs]
-    flat = np.concatenate([sigs for levels in signs for _, sigs in levels])
-    owner = np.repeat(np.array([o for o, levels in zip(owners, signs, strict=True) for _ in levels], np.int64), lengths)
-    _, first, back, count = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
-    many, holds = (count > 1)[back], first[back] == np.arange(len(flat))
-    peer = owner[first[back]]
-    ends = iter(np.cumsum([0, *lengths]).tolist())
-    lo, out = next(ends), []
-    for levels in signs:
-        out.append([])
-        for need, _ in levels:
-            hi = next(ends)
-            sigs, m, h = flat[lo:hi].view(np.int64), many[lo:hi], holds[lo:hi]
-            out[-1].append({"need": need, "sigs": sigs[~m], "held": sigs[m & h], "peers": peer[lo:hi][m & ~h], "via": sigs[m & ~h]})
-            lo = hi
-    return out
-
-
-SIGNED_SCHEMA = "doc_id long, n_shingles long, h1 long, h2 long, signs array<struct<need: int, sigs: array<bigint>, held: array<bigint>, peers: array<bigint>, via: array<bigint>>>"
-
-
-def signed_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, h1 and h2 (the class), and the signatures of classes new to the task."""
 
-    def make():
-        levels, seen = Levels(percent), {}
+SIGNED_SCHEMA = "doc_id long, n_shingles long, h1 long, h2 long, signs array<struct<rule: int, sig: bigint, peer: bigint, held: boolean>>"
+SIGN = pa.struct([("rule", pa.int32()), ("sig", pa.int64()), ("peer", pa.int64()), ("held", pa.bool_())])
+SIGNED_ARROW = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n_shingles", "h1", "h2")), ("signs", pa.list_(SIGN))])
 
-        def step(cols):
-            out: dict[str, list] = {"doc_id": cols["doc_id"], "n_shingles": [], "h1": [], "h2": [], "signs": [None] * len(cols["text"])}
-            new, signs = [], []
-            for k, t in enumerate(cols["text"]):
-                s = shingles(t, n)
-                key = set_key(s) if len(s) else (None, None)
-                out["n_shingles"].append(len(s))
-                out["h1"].append(key[0])
-                out["h2"].append(key[1])
-                if len(s) and key not in seen:
-                    if len(seen) >= SIGNED:
-                        seen.clear()
-                    seen[key] = True
-                    new.append(k)
-                    signs.append(list(levels.sign(s)))
-            for k, got in zip(new, pooled([out["h1"][k] for k in new], signs), strict=True):
-                out["signs"][k] = got
-            return out
 
-        return step
+class Pool:
+    """Rows of a task that wait for their signatures to be pooled."""
+
+    def __init__(self):
+        self._empty()
+
+    def _empty(self) -> None:
+        self.rows: tuple[list, ...] = ([], [], [], [])
+        self.sizes: list[int] = []
+        self.levels: list[tuple[int, int, np.ndarray]] = []
+        self.total = 0
+
+    def add(self, doc_id: int | None, n: int, key: tuple, signs: list[tuple[int, np.ndarray]]) -> None:
+        for column, v in zip(self.rows, (doc_id, n, *key), strict=True):
+            column.append(v)
+        self.levels += [(key[0], need * 2 + k, sigs) for k, (need, sigs) in enumerate(signs)]
+        self.sizes.append(sum(len(sigs) for _, sigs in signs))
+        self.total += self.sizes[-1]
+
+    def full(self, pool: int) -> bool:
+        return self.total >= pool or len(self.sizes) >= POOL_ROWS
+
+    def flush(self) -> pa.RecordBatch:
+        lengths = [len(x) for _, _, x in self.levels]
+        sigs = np.concatenate([x for _, _, x in self.levels]) if self.levels else np.zeros(0, np.uint64)
+        owners, rules = (np.repeat(np.array([x[k] for x in self.levels], kind), lengths) for k, kind in ((0, np.int64), (1, np.int32)))
+        has_peer, peer, held = pooled(owners, sigs)
+        parts = [pa.array(rules), pa.array(sigs.view(np.int64)), pa.array(peer, mask=~has_peer), pa.array(held)]
+        struct = pa.StructArray.from_arrays(parts, fields=list(SIGN))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(self.sizes)]), pa.int32())
+        columns = [pa.array(c, pa.int64()) for c in self.rows]
+        out = pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, struct, type=pa.list_(SIGN))], schema=SIGNED_ARROW)
+        self._empty()
+        return out
+
+
+def signed_sets(docs: DataFrame, n: int, percent: int, pool: int = POOL) -> DataFrame:
+    """doc_id, n_shingles, h1 and h2 (the class), and the signatures of classes new to the task."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, seen, wait = Levels(percent), set(), Pool()
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = shingles(text, n)
+                key, signs = (None, None), []
+                if len(s):
+                    key = set_key(s)
+                    if key not in seen:
+                        if len(seen) >= SIGNED:
+                            seen.clear()
+                        seen.add(key)
+                        signs = list(levels.sign(s))
+                wait.add(doc_id, len(s), key, signs)
+                if wait.full(pool):
+                    yield wait.flush()
+        if wait.sizes:
+            yield wait.flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_rows(rows, SIGNED_SCHEMA, make)
+    return rows.mapInArrow(run, SIGNED_SCHEMA)
 
 
 def candidate_edges(signed: DataFrame) -> DataFrame:
     """(a, b): classes that share a signature, each linked with the smallest class of it or with
-    the one that held it in its batch. Classes that share too few signatures to have a partner
-    are left out first, but for those that hold a signature for one that stays."""
-    rows = signed.where("signs is not null").select("h1", F.posexplode("signs").alias("level", "s"))
-    rows = rows.select("h1", (F.col("s.need") * 2 + F.col("level")).alias("rule"), "s.sigs", "s.held", F.arrays_zip("s.peers", "s.via").alias("peers"))
-    alone = rows.select("h1", "rule", F.explode("sigs").alias("sig"), F.lit(False).alias("known"))
-    held = rows.select("h1", "rule", F.explode("held").alias("sig"), F.lit(True).alias("known"))
-    by_sig, by_class = Window.partitionBy("sig"), Window.partitionBy("h1", "rule")
-    met = alone.union(held).select("*", F.min("h1").over(by_sig).alias("lo"), F.max("h1").over(by_sig).alias("hi")).where("known or lo <> hi")
-    local = rows.select("h1", "rule", F.explode("peers").alias("p")).select("h1", "rule", F.col("p.via").alias("sig"), F.col("p.peers").alias("peer"))
-    shared = met.select("h1", "rule", "sig", F.lit(None).cast("long").alias("peer")).union(local)
-    enough = written(shared.select("*", F.count("*").over(by_class).alias("n")).where("n >= rule div 2").select("h1", "sig", "peer"), "enough")
+    the one that held it in its pool. Classes that share too few signatures to have a partner are
+    left out first, but for those that hold a signature for one that stays."""
+    rows = signed.select("h1", F.inline("signs"))
+    by_sig = Window.partitionBy("sig")  # at most one row of a signature for each pool
+    met = rows.where("peer is null").select("*", F.min("h1").over(by_sig).alias("lo"), F.max("h1").over(by_sig).alias("hi")).where("held or lo <> hi")
+    columns = ["h1", "rule", "sig", "peer"]
+    shared = written(met.select(columns).union(rows.where("peer is not null").select(columns)), "shared")
+    able = shared.groupBy("h1", "rule").agg(F.count("*").alias("n")).where("n >= rule div 2").select("h1", "rule")
+    enough = written(shared.join(able, ["h1", "rule"], "left_semi").select("h1", "sig", "peer"), "enough")
     hubs = enough.where("peer is not null").select(F.col("peer").alias("h1"), "sig").distinct()
-    far = enough.where("peer is null").select("h1", "sig").union(hubs).select(F.col("h1").alias("a"), F.min("h1").over(by_sig).alias("b"))
+    open_ = enough.where("peer is null").select("h1", "sig").union(hubs)
+    least = open_.groupBy("sig").agg(F.min("h1").alias("b"))
+    far = open_.join(least, "sig").select(F.col("h1").alias("a"), "b")
     near = enough.where("peer is not null").select(F.col("h1").alias("a"), F.col("peer").alias("b"))
     return far.union(near).where("a <> b").distinct()
 
@@ -290,14 +316,19 @@ class PrefixTree:
             node, at = kid, at + k
 
 
-def join_group(sets: list[np.ndarray], sides: list[int] | None, percent: int) -> list[tuple[int, int]]:
-    """Links that join all of a group's components: within it, or between sides 0 and 1 if given."""
+def join_group(sets: list[np.ndarray], sides: list[int] | None, percent: int, joined: bool = False) -> list[tuple[int, int]]:
+    """Links that join all of a group's components: within it, or between sides 0 and 1 if given;
+    with ``joined`` side 1 is known to be one component."""
     flat, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(flat), np.int64)
     rank[np.argsort(-count, kind="stable")] = np.arange(len(flat))  # common n-grams first: prefixes are shared
     ranked = np.split(rank[back], np.cumsum([len(s) for s in sets])[:-1])
     forest, edges = Forest(len(sets)), []
     tree = PrefixTree(percent, forest)
+    if joined:
+        ones = [k for k, side in enumerate(sides or []) if side]
+        for k in ones[1:]:
+            forest.join(ones[0], k)
     order = sorted(range(len(sets)), key=lambda i: (sides[i] if sides else 0, len(sets[i]), i))
     for me in order:
         xs = np.sort(ranked[me]).tolist()
@@ -313,12 +344,11 @@ def join_group(sets: list[np.ndarray], sides: list[int] | None, percent: int) ->
     return edges
 
 
-def verified_edges(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links within clusters. ``members``: first (the smallest doc_id), h1, h2, cluster, blocks, block."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def member_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """h1, cluster, blocks and grams (the set) of ``members`` (first, the smallest doc_id, h1, h2, cluster, blocks)."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    side = members.select(F.col("first").alias("doc_id"), "h1", "h2", "cluster", "blocks", "block")
+    side = members.select(F.col("first").alias("doc_id"), "h1", "h2", "cluster", "blocks")
     known = side.where("doc_id is not null")
     if known.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         known = F.broadcast(known)
@@ -326,12 +356,12 @@ def verified_edges(docs: DataFrame, members: DataFrame, n: int, percent: int) ->
     nameless = side.where("doc_id is null").drop("doc_id")
     lost = not nameless.isEmpty()
     if lost:  # classes without any doc_id: found again by their sets
-        rows = rows.unionByName(texts.where("doc_id is null").select("doc_id", "text", *(F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "cluster", "blocks", "block"))))
+        rows = rows.unionByName(texts.where("doc_id is null").select("doc_id", "text", *(F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "cluster", "blocks"))))
 
     def make():
         def step(cols):
-            out: dict[str, list] = {k: [] for k in ("h1", "h2", "cluster", "blocks", "block", "grams")}
-            for t, h1, h2, *rest in zip(cols["text"], cols["h1"], cols["h2"], cols["cluster"], cols["blocks"], cols["block"], strict=True):
+            out: dict[str, list] = {k: [] for k in ("h1", "h2", "cluster", "blocks", "grams")}
+            for t, h1, h2, *rest in zip(cols["text"], cols["h1"], cols["h2"], cols["cluster"], cols["blocks"], strict=True):
                 s = shingles(t, n)
                 key = set_key(s)
                 if h1 is None or key == (h1, h2):
@@ -341,51 +371,130 @@ def verified_edges(docs: DataFrame, members: DataFrame, n: int, percent: int) ->
 
         return step
 
-    sets = map_rows(rows.select("text", "h1", "h2", "cluster", "blocks", "block"), "h1 long, h2 long, cluster long, blocks long, block long, grams binary", make)
+    sets = map_rows(rows.select("text", "h1", "h2", "cluster", "blocks"), "h1 long, h2 long, cluster long, blocks long, grams binary", make)
     if lost:
         found = sets.where("cluster is null").select("h1", "h2", "grams").join(nameless, ["h1", "h2"])
         sets = sets.where("cluster is not null").unionByName(found)
-    dealt = sets.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("h1", "cluster", "grams", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    keyed = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "h1")
+    return sets.select("h1", "cluster", "blocks", "grams")
+
+
+def streamed_groups(dealt: DataFrame, keys: list[str], order: list[str], link: Callable[[tuple, list[tuple]], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b): what ``link`` makes of each group of equal ``keys``, given the other columns of its
+    rows in ``order``, one row for each h1."""
+    rest = [c for c in dealt.columns if c not in keys]
+    me = rest.index("h1")
+    rows = dealt.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order)
+    n = len(keys)
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets, sides = None, [], [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, []
 
-        def flush():
-            got = join_group(sets, sides if now[1] != now[2] else None, percent) if len(sets) > 1 else []
-            return [(nodes[a], nodes[b]) for a, b in got]
+        def found(out):
+            return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
         for batch in batches:
             out: list[tuple[int, int]] = []
-            cols = (batch.column(k).to_pylist() for k in ("cluster", "i", "j", "h1", "block", "grams"))
-            for cluster, i, j, h1, block, grams in zip(*cols, strict=True):
-                if (cluster, i, j) != now:
-                    if now:
-                        out += flush()
-                    now, nodes, sets, sides = (cluster, i, j), [], [], []
-                if nodes and nodes[-1] == h1:
-                    continue  # a repeated row
-                nodes.append(h1)
-                sets.append(np.frombuffer(grams, np.uint64))
-                sides.append(int(block != i))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:n] != now:
+                    out += link(now, group) if now else []
+                    now, group = row[:n], []
+                if not group or group[-1][me] != row[n + me]:  # else a repeated row
+                    group.append(row[n:])
+            yield found(out)
         if now:
-            out = flush()
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+            yield found(link(now, group))
+
+    return rows.mapInArrow(run, "a long, b long")
+
 
-    return keyed.mapInArrow(join, "a long, b long")
+def linked_in_groups(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links of sets dealt by cluster, i and j; ``side``: 0, or 1 and 2 for the second of two
+    blocks, 2 if that is known to be one component."""
 
+    def link(_, rows):
+        if len(rows) < 2:
+            return []
+        nodes, sets, sides = [r[0] for r in rows], [np.frombuffer(r[1], np.uint64) for r in rows], [r[2] for r in rows]
+        got = join_group(sets, [int(x > 0) for x in sides] if any(sides) else None, percent, 2 in sides)
+        return [(nodes[a], nodes[b]) for a, b in got]
+
+    return streamed_groups(dealt.select("cluster", "i", "j", "h1", "grams", "side"), ["cluster", "i", "j"], ["h1"], link)
+
+
+def linked_with_pivots(sets: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """Links of each of ``sets`` (h1, cluster, blocks, grams) with those of them that ``pivots``
+    (cluster, h1) names. Each block of a cluster gets the pivots, and its sets stream past them."""
+    whole = sets.join(pivots, ["cluster", "h1"]).dropDuplicates(["h1"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = sets.withColumn("block", F.pmod(F.xxhash64("h1"), "blocks")).withColumn("late", F.lit(1)).unionByName(whole.withColumn("late", F.lit(0)))
+    rows = dealt.select("cluster", "block", "late", "h1", "grams").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "late", "h1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for cluster, block, late, h1, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (cluster, block) != now:
+                    now, known = (cluster, block), []
+                s = np.frombuffer(grams, np.uint64)
+                if not late:
+                    known.append((h1, s))
+                    continue
+                for other, t in known:
+                    if other != h1 and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
+                        both = len(np.intersect1d(s, t, assume_unique=True))
+                        if both * (100 + percent) >= percent * (len(s) + len(t)):
+                            out.append((h1, other))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def large_cluster_edges(sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links that join all components of clusters of several blocks."""
+    sets = written(sets, "large")
+    nodes = sets.select("h1", "cluster", (F.length("grams") / 8).cast("long").alias("size")).distinct()
+    edges, left = None, nodes.withColumn("main", F.lit(False))
+    for k in range(ROUNDS):
+        bucket = F.pmod(F.xxhash64("h1", F.lit(k)), F.lit(PIVOTS))
+        pivots = left.where("not main").groupBy("cluster", bucket).agg(F.min(F.struct(F.xxhash64(F.lit(k), "h1"), "h1")).getField("h1").alias("h1")).select("cluster", "h1")
+        new = linked_with_pivots(sets, pivots, percent).distinct()
+        edges = written(new if edges is None else edges.union(new).distinct(), "pivots")
+        parts = nodes.join(connected_components(edges, "pivots").withColumnRenamed("node", "h1"), "h1", "left")
+        most = parts.where("root is not null").groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+        left = written(parts.join(most, "cluster", "left").select("h1", "cluster", "size", F.coalesce(F.col("root") == F.col("most"), F.lit(False)).alias("main")), "pivots")
+        over = left.where("not main").groupBy("cluster").agg(F.sum("size").alias("size"))
+        if over.where(F.col("size") > block).isEmpty():
+            break
+    # blocks of what is left over come first, then those of the largest component
+    of = lambda main: F.ceil(F.coalesce(F.sum(F.when(F.col("main") == main, F.col("size"))), F.lit(0)) / block)
+    counts = left.groupBy("cluster").agg(of(False).alias("rest"), of(True).alias("own")).where("rest > 0")
+    placed = left.join(counts, "cluster").withColumn("at", F.when(F.col("main"), F.col("rest") + F.pmod(F.xxhash64("h1"), F.greatest("own", F.lit(1)))).otherwise(F.pmod(F.xxhash64("h1"), "rest")))
+    dealt = sets.drop("cluster").join(placed, "h1")
+    last = F.when(F.col("main"), F.col("rest")).otherwise(F.col("rest") + F.col("own")) - 1
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    i, j = F.least("at", "other"), F.greatest("at", "other")
+    side = F.when(i == F.col("at"), 0).when(F.col("main"), 2).otherwise(1)
+    return edges.union(linked_in_groups(dealt.select("cluster", i.alias("i"), j.alias("j"), "h1", "grams", side.alias("side")), percent))
+
+
+def verified_edges(docs: DataFrame, members: DataFrame, n: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links within clusters. ``members``: first (the smallest doc_id), h1, h2, cluster, blocks."""
+    small = member_sets(docs, members.where("blocks = 1"), n)
+    zero = F.lit(0)
+    edges = linked_in_groups(small.select("cluster", zero.alias("i"), zero.alias("j"), "h1", "grams", zero.alias("side")), percent)
+    large = members.where("blocks > 1")
+    return edges if large.isEmpty() else edges.union(large_cluster_edges(member_sets(docs, large, n), percent, block))
+
+
+def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, block: int = BLOCK, pool: int = POOL) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
-    signed = written(signed_sets(docs, n, percent), "signed")
+    signed = written(signed_sets(docs, n, percent, pool), "signed")
     clusters = written(connected_components(candidate_edges(signed), "clusters"), "clusters")
     classes = signed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size"), F.count("*").alias("rows"))
     inside = classes.join(clusters.withColumnsRenamed({"node": "h1", "root": "cluster"}), "h1")
-    total = inside.groupBy("cluster").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
-    members = written(inside.join(total, "cluster").withColumn("block", F.pmod(F.xxhash64("h1"), "blocks")), "members")
-    links = connected_components(verified_edges(docs, members, n, percent), "links")
+    total = inside.groupBy("cluster").agg(F.ceil(F.sum("size") / block).alias("blocks"))
+    members = written(inside.join(total, "cluster"), "members")
+    links = connected_components(verified_edges(docs, members, n, percent, block), "links")
     linked = classes.join(links.withColumnsRenamed({"node": "h1"}), "h1", "left")
     roots = linked.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
     grouped = linked.join(roots, "root", "left").where("rows > 1 or root is not null")

@@ -17,9 +17,9 @@ def as_ids(ids, sets, comps):
     return sorted(((ids[k], len(sets[k]), least.get(c)) for k, c in enumerate(comps)), key=repr)
 
 
-def check(spark, rows, n, percent):
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = sorted(map(tuple, jaccard.ngram_components(df, n, percent).collect()), key=repr)
+def check(spark, rows, n, percent, parts=5, **sizes):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = sorted(map(tuple, jaccard.ngram_components(df, n, percent, **sizes).collect()), key=repr)
     assert got == as_ids([r[0] for r in rows], *brute_components([r[1] for r in rows], n, percent))
     return got
 
@@ -52,20 +52,56 @@ def test_as_brute_force(spark, n, percent, seed):
     assert len({c for *_, c in got}) < len(rows) - 30  # near copies were found, too
 
 
-def test_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 300)
-    check(spark, list(enumerate(near_copies(random.Random(7), 8, 30))), 3, 90)
+@pytest.mark.parametrize("changes", [1, 3])
+def test_blocks(spark, changes):
+    """Clusters of many blocks: near copies that mostly link with a pivot, and such that mostly don't."""
+    check(spark, list(enumerate(near_copies(random.Random(7), 8, 30))), 3, 90, block=300)
+    rows = one_group(random.Random(9), 120, changes) + [(1000 + k, "all other words in this one here") for k in range(3)]
+    got = check(spark, rows, 3, 90, block=1500)
+    assert changes > 1 or len({c for k, _, c in got if k < 1000}) == 1
 
 
-def test_one_large_group(spark):
-    rng = random.Random(8)
+def one_group(rng, n, changes):
     base = [f"w{k}" for k in range(80)]
     texts = []
-    for _ in range(400):
+    for _ in range(n):
         words = list(base)
-        words[rng.randrange(80)] = f"x{rng.randrange(30)}"
+        for _ in range(changes):
+            words[rng.randrange(80)] = f"x{rng.randrange(30)}"
         texts.append(" ".join(words))
-    check(spark, list(enumerate(texts)), 3, 90)
+    return list(enumerate(texts))
+
+
+def test_one_large_group(spark):
+    check(spark, one_group(random.Random(8), 400, 1), 3, 90)
+
+
+def test_peers_whose_holder_is_left_out(spark):
+    """Three documents of one file, a fourth in another: 3 and 4 link, though 1 and 2 hold what they share."""
+    rows = [
+        (1, "w937544 w390602 w414274 w35559 w775849 w115534 w182685 w971695 w89730 w864583 w422029 w549170"),
+        (2, "w775809 w145689 w462309 w698585 w581010 w573817 w885180 w478367 w710285 w388501 w449009 w978851"),
+        (3, "w115534 w182685 w971695 w573817 w885180 w478367 w35935 w518618 w19835 w512413 w284473 w532532"),
+        (4, "w115534 w182685 w971695 w573817 w885180 w478367 w35935 w518618 w19835 w512413 w284473 w532532 w840471"),
+    ]
+    schema = "doc_id long, text string"
+    first, second = spark.createDataFrame(rows[:3], schema).coalesce(1), spark.createDataFrame(rows[3:], schema).coalesce(1)
+    want = [(1, 1), (2, 2), (3, 3), (4, 3)]
+    for docs in (first.union(second), first.union(second).coalesce(1), first.union(second).repartition(4)):
+        got = jaccard.ngram_components(docs).orderBy("doc_id").collect()
+        assert [(r.doc_id, r.component_id) for r in got] == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_any_partitioning(spark, seed):
+    """Short texts that share phrases, in pools of a few signatures each: the same links however rows are dealt."""
+    rng = random.Random(100 + seed)
+    phrases = [" ".join(f"p{rng.randrange(400)}" for _ in range(3)) for _ in range(25)]
+    texts = [" ".join(rng.choices(phrases, k=rng.choice([3, 4, 4, 5, 8, 12]))) for _ in range(90)]
+    texts += [t + f" w{rng.randrange(9)}" for t in rng.sample(texts, 45)] + [" ".join(t.split()[1:]) for t in rng.sample(texts, 25)]
+    rng.shuffle(texts)
+    sizes = {"pool": rng.choice([1, 20, 60, 200, 1_000_000])}
+    check(spark, list(enumerate(texts)), 3, rng.choice([80, 90]), parts=rng.choice([1, 2, 3, 7, 16]), **sizes)
 
 
 def test_odd_rows(spark, odd_docs):
@@ -127,18 +163,36 @@ def test_signatures_meet(common, extra_a, extra_b, percent, seed):
 
 
 def test_holders_left_out(spark):
-    """Classes 4 and 5 share two signatures, held in the first batch by classes that share too few."""
-    batches = [{1: [10, 91], 2: [11, 92], 4: [10, 11]}, {5: [10, 11]}]
+    """Classes 4 and 5 share two signatures, held in the first pool by classes that share too few."""
+    pools = [{1: [10, 91], 2: [11, 92], 4: [10, 11]}, {5: [10, 11]}]
     rows = []
-    for batch in batches:
-        signs = [[(2, np.array(sigs, np.uint64))] for sigs in batch.values()]
-        for h1, levels in zip(batch, jaccard.pooled(list(batch), signs), strict=True):
-            rows.append((h1, 10, h1, h1, [{k: v if k == "need" else v.tolist() for k, v in level.items()} for level in levels]))
+    for pool in pools:
+        wait = jaccard.Pool()
+        for h1, sigs in pool.items():
+            wait.add(h1, 10, (h1, h1), [(2, np.array(sigs, np.uint64))])
+        rows += wait.flush().to_pylist()
+    assert wait.total == 0 and [r["h1"] for r in rows] == [1, 2, 4, 5]
     signed = spark.createDataFrame(rows, jaccard.SIGNED_SCHEMA)
     root = {r.node: r.root for r in graph.connected_components(jaccard.candidate_edges(signed)).collect()}
     assert 4 in root and root[4] == root.get(5)
 
 
+@settings(max_examples=200, database=None, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 9)), max_size=40))
+def test_pooled(rows):
+    owners, sigs = np.array([o for o, _ in rows], np.int64), np.array([x for _, x in rows], np.uint64)
+    first = {}
+    for o, x in rows:
+        first.setdefault(x, o)
+    has, peer, held = jaccard.pooled(owners, sigs)
+    seen = set()
+    for k, (_, x) in enumerate(rows):
+        many = sum(y == x for _, y in rows) > 1
+        assert (bool(has[k]), bool(held[k])) == (many and x in seen, many and x not in seen)
+        assert peer[k] == first[x]
+        seen.add(x)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(7, 9), (9, 8), (5, 5), (None, 3), (7, 9)] + [(1000, k) for k in range(1001, 1200)]
     got = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
