@@ -59,8 +59,7 @@ def op6_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     spark_sql = FILES.format(a="doc_id div 400", b="(doc_id div 20) % 20", t="{docs}")
     files = spark.sql(spark_sql, docs=docs)
-    found = licenses.scan(files.select("path", "text"))
-    return files.select("doc_id", "path").join(found.groupBy("path").agg(*(F.first(c).alias(c) for c in ("license", "score", "origin"))), "path", "left").select("doc_id", "path", "license", "score", "origin")
+    return licenses.scan(files, carry=["doc_id"])
 
 
 def op7_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

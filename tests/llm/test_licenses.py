@@ -15,6 +15,48 @@ FILES = [
 ]
 
 
+BSD = """
+// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions are met:
+//
+// 1. Redistributions of source code must retain the above copyright notice,
+//    this list of conditions and the following disclaimer.
+"""
+GPL = """#   This program is free software{} you can redistribute it and/or modify
+#   it under the terms of the GNU General Public License as published by
+#   the Free Software Foundation{} either version {} of the License, or
+#   (at your option) any later version.
+"""
+HEADERS = {
+    "bsd2.c": ("BSD-2-Clause", BSD),
+    "bsd3.c": ("BSD-3-Clause", BSD + """//
+// 3. Neither the name of the copyright holder nor the names of its
+//    contributors may be used to endorse or promote products derived from
+//    this software without specific prior written permission.
+"""),
+    "mit.js": ("MIT", """/*
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+ * copies of the Software, and to permit persons to whom the Software is
+ * furnished to do so, subject to the following conditions:
+ */"""),
+    "mit.txt": ("MIT", "MIT License\n\nCopyright (c) 2020 someone\n"),
+    "apache.py": ("Apache-2.0", """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+"""),
+    "apache.txt": ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n"),
+    "apache.el": ("Apache-2.0", ";; Licensed under the Apache\n;; License, Version 2.0\n"),
+    "gpl3.sh": ("GPL-3.0", GPL.format(":", ",", 3)), "gpl2.sh": ("GPL-2.0", GPL.format(";", ";", 2)),
+    "gpl3.txt": ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright"),
+    "gpl2.txt": ("GPL-2.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright"),
+    "lgpl.txt": ("LGPL-3.0", "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n"),
+    "prose.txt": (None, "The public may use this work without a person in charge.\nIt was released under the terms of a subject.\nMit der Katze kam die Version des Hundes.\nEr kam mit dem Hund."),
+}
+
+
 def cosines(model, statement):
     """All templates, without the search for heavy terms."""
     tf = Counter(t for t in re.split(licenses.TERM, statement) if t)
@@ -27,21 +69,34 @@ def cosines(model, statement):
     return {k: round(s, 6) for k, s in out.items()}
 
 
-def brute(model):
+def units_of(model, text):
+    has = lambda x: re.search(model.pattern, x)
+    lines = (text or "").lower().split("\n")
+    runs = [""]
+    for x in lines:
+        if has(x):
+            runs[-1] += " " + x
+        else:
+            runs.append("")
+    return {u for x in lines + runs if has(x) for u in [*re.split(licenses.SENTENCE, x), *([x] if x in runs and len(x) <= licenses.HEADER else [])] if has(u)}
+
+
+def brute(model, files=None):
     own = {}
-    for path, text in FILES:
-        for statement in re.split(licenses.STATEMENT, (text or "").lower()):
-            for k, s in cosines(model, statement).items():
+    for path, text in files or FILES:
+        for unit in units_of(model, text):
+            for k, s in cosines(model, unit).items():
                 if s >= model.threshold:
-                    best = (-s, model.templates[k][0])
-                    own[path or ""] = min(own.get(path or "", best), best)
+                    found = own.setdefault(path or "", {})
+                    found[model.templates[k][0]] = max(found.get(model.templates[k][0], 0), s)
+    own = {path: min((-s, name) for name, s in found.items() if not any(coarse == name and fine in found for fine, coarse in licenses.REFINES.items())) for path, found in own.items()}
     given = {}
-    for path, best in own.items():
-        folder, _, name = path.rpartition("/")
+    for path, _ in files or FILES:
+        folder, _, name = (path or "").rpartition("/")
         if re.match(licenses.LICENCE_FILE, name):
-            given[folder] = min(given.get(folder, best), best)
+            given[folder] = min(given.get(folder, (1,)), own.get(path, (1,)))
     out = []
-    for path, _ in FILES:
+    for path, _ in files or FILES:
         path = path or ""
         if path in own:
             out.append((path, own[path][1], -own[path][0], "own"))
@@ -49,12 +104,12 @@ def brute(model):
         folder = path.rpartition("/")[0]
         while folder not in given and folder:
             folder = folder.rpartition("/")[0]
-        out.append((path, given[folder][1] if folder in given else None, None, "/" + folder if folder in given else None))
+        out.append((path, (*given.get(folder, ()), None)[1], None, "/" + folder if folder in given else None))
     return sorted(out, key=repr)
 
 
 def test_as_brute_force(spark):
-    df = spark.createDataFrame(FILES, "path string, text string").selectExpr("*", "'z' as folder", "'z' as statement", "'z' as license").repartition(3)
+    df = spark.createDataFrame(FILES, "path string, text string").selectExpr("*", "'z' as folder", "'z' as unit", "'z' as license").repartition(3)
     model = licenses.Model()
     assert sorted(map(tuple, licenses.scan(df, model).collect()), key=repr) == brute(model)
     assert licenses.scan(df.limit(0)).count() == 0
@@ -64,7 +119,15 @@ def test_inheritance_by_hand(spark):
     df = spark.createDataFrame(FILES, "path string, text string")
     got = {r.path: (r.license, r.origin) for r in licenses.scan(df).collect()}
     assert got["lib/core/c.txt"] == ("Apache-2.0", "own") and got["lib/core/deep/er/d.txt"] == ("GPL-3.0", "/lib/core")
-    assert got["lib/corex/e.txt"] == ("MIT", "/") and got["other/f.txt"] == ("MIT", "/") and got["two/h.txt"] == ("CC-BY-NC-4.0", "own")
+    assert got["lib/corex/e.txt"] == ("MIT", "/") and got["two/h.txt"] == ("CC-BY-NC-4.0", "own")
+    assert got["other/f.txt"] == (None, "/other") == got["other/COPYING"]  # a licence file that isn't recognised
+
+
+def test_wrapped_headers(spark):
+    """Headers as they stand in files, wrapped and in comments, and the beginnings of licence files."""
+    df = spark.createDataFrame([(k, v) for k, (_, v) in HEADERS.items()], "path string, text string")
+    got = {r.path: (r.license, r.origin) for r in licenses.scan(df).collect()}
+    assert got == {k: (name, "own" if name else None) for k, (name, _) in HEADERS.items()}
 
 
 @pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9])
@@ -75,7 +138,7 @@ def test_heavy_terms_miss_nothing(threshold):
     for k, t in enumerate(texts):
         own = t.split()
         for drop in range(len(own)):
-            for add in (0, 1, 3):
+            for add in (0, 3):
                 statement = " ".join(own[:drop] + own[drop + 1 :] + words[k : k + add])
                 if max(cosines(model, statement).values()) >= threshold:
                     assert re.search(model.pattern, statement)
