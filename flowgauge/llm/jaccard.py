@@ -12,10 +12,10 @@
    sets, in one global order, are stored in a prefix tree; a probe walks the tree, sharing
    the partial overlap of common prefixes, and leaves a subtree when the n-grams that remain
    on either side can't reach the threshold, or when all of it is already linked with it.
-4. A cluster too large for a task is first linked with some of its own sets, the pivots, in a
-   few rounds of one pass each. Its largest component so far need not be compared within
-   itself; what is left over is dealt in blocks, each of which meets the other left-over
-   blocks and the blocks of that component. So a group of near copies costs a few passes.
+4. A cluster too large for a task is first linked with some of its own sets, the pivots, in
+   one pass. What that shows to be one component need not be compared within itself; what is
+   left over is dealt in blocks, each of which meets the other left-over blocks and the blocks
+   of that component. So a group of near copies costs a few passes, however large it is.
 5. Components over the links and the copies give the result.
 
 Nulls and edge cases: without words or text a set is empty and linked with nothing; fewer
@@ -39,8 +39,8 @@ from flowgauge.llm.graph import connected_components
 
 #: N-grams of a block of a cluster: bounds what a task holds.
 BLOCK = 250_000
-#: Sets with which all of a large cluster is compared in a round, and rounds.
-PIVOTS, ROUNDS = 16, 3
+#: Sets with which all of a large cluster is compared.
+PIVOTS = 16
 #: Signatures, and documents, that a task pools before it gives them on: a signature that very
 #: many sets have counts once for so many, which bounds the rows of one signature that meet.
 POOL, POOL_ROWS = 1_000_000, 50_000
@@ -422,8 +422,8 @@ def linked_in_groups(dealt: DataFrame, percent: int) -> DataFrame:
 
 
 def linked_with_pivots(sets: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Links of each of ``sets`` (h1, cluster, blocks, grams) with those of them that ``pivots``
-    (cluster, h1) names. Each block of a cluster gets the pivots, and its sets stream past them."""
+    """(cluster, a, b): links of each of ``sets`` (h1, cluster, blocks, grams) with those of them that
+    ``pivots`` (cluster, h1) names. Each block of a cluster gets the pivots, and its sets stream past them."""
     whole = sets.join(pivots, ["cluster", "h1"]).dropDuplicates(["h1"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = sets.withColumn("block", F.pmod(F.xxhash64("h1"), "blocks")).withColumn("late", F.lit(1)).unionByName(whole.withColumn("late", F.lit(0)))
     rows = dealt.select("cluster", "block", "late", "h1", "grams").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "late", "h1")
@@ -431,7 +431,7 @@ def linked_with_pivots(sets: DataFrame, pivots: DataFrame, percent: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known = None, []
         for batch in batches:
-            out: list[tuple[int, int]] = []
+            out: list[tuple[int, int, int]] = []
             for cluster, block, late, h1, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (cluster, block) != now:
                     now, known = (cluster, block), []
@@ -443,28 +443,32 @@ def linked_with_pivots(sets: DataFrame, pivots: DataFrame, percent: int) -> Data
                     if other != h1 and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
                         both = len(np.intersect1d(s, t, assume_unique=True))
                         if both * (100 + percent) >= percent * (len(s) + len(t)):
-                            out.append((h1, other))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+                            out.append((cluster, h1, other))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["cluster", "a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "cluster long, a long, b long")
+
+
+def with_main_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes`` (h1, cluster, size) with ``main`` for what is known to be one component: the sets
+    linked with the pivot that has the most links, and with pivots that share one of those."""
+    stars = edges.groupBy("cluster", "b").agg(F.count("*").alias("n"))  # a few pivots a cluster
+    best = stars.groupBy("cluster").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    inner = edges.join(best, ["cluster", "b"]).select("cluster", "a").union(best)
+    pivots = edges.join(inner, ["cluster", "a"]).select("cluster", "b").union(best).distinct()
+    main = edges.join(pivots, ["cluster", "b"]).select(F.col("a").alias("h1")).union(pivots.select(F.col("b").alias("h1"))).distinct()
+    return nodes.join(main.withColumn("main", F.lit(True)), "h1", "left").select("h1", "cluster", "size", F.coalesce("main", F.lit(False)).alias("main"))
 
 
 def large_cluster_edges(sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Links that join all components of clusters of several blocks."""
     sets = written(sets, "large")
-    nodes = sets.select("h1", "cluster", (F.length("grams") / 8).cast("long").alias("size")).distinct()
-    edges, left = None, nodes.withColumn("main", F.lit(False))
-    for k in range(ROUNDS):
-        bucket = F.pmod(F.xxhash64("h1", F.lit(k)), F.lit(PIVOTS))
-        pivots = left.where("not main").groupBy("cluster", bucket).agg(F.min(F.struct(F.xxhash64(F.lit(k), "h1"), "h1")).getField("h1").alias("h1")).select("cluster", "h1")
-        new = linked_with_pivots(sets, pivots, percent).distinct()
-        edges = written(new if edges is None else edges.union(new).distinct(), "pivots")
-        parts = nodes.join(connected_components(edges, "pivots").withColumnRenamed("node", "h1"), "h1", "left")
-        most = parts.where("root is not null").groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
-        left = written(parts.join(most, "cluster", "left").select("h1", "cluster", "size", F.coalesce(F.col("root") == F.col("most"), F.lit(False)).alias("main")), "pivots")
-        over = left.where("not main").groupBy("cluster").agg(F.sum("size").alias("size"))
-        if over.where(F.col("size") > block).isEmpty():
-            break
+    nodes = sets.select("h1", "cluster", (F.length("grams") / 8).cast("long").alias("size"))
+    bucket = F.pmod(F.xxhash64("h1"), F.lit(PIVOTS))
+    pivots = nodes.groupBy("cluster", bucket).agg(F.min(F.struct(F.xxhash64(F.lit(0), "h1"), "h1")).getField("h1").alias("h1")).select("cluster", "h1")
+    edges = written(linked_with_pivots(sets, pivots, percent), "pivots")
+    left = written(with_main_component(nodes, edges), "left")
+    edges = edges.select("a", "b")
     # blocks of what is left over come first, then those of the largest component
     of = lambda main: F.ceil(F.coalesce(F.sum(F.when(F.col("main") == main, F.col("size"))), F.lit(0)) / block)
     counts = left.groupBy("cluster").agg(of(False).alias("rest"), of(True).alias("own")).where("rest > 0")

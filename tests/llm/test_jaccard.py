@@ -193,8 +193,11 @@ def test_pooled(rows):
         seen.add(x)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_components(spark, small):
     edges = [(k, k + 1) for k in range(100, 140)] + [(7, 9), (9, 8), (5, 5), (None, 3), (7, 9)] + [(1000, k) for k in range(1001, 1200)]
-    got = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
     assert got == {k: 100 for k in range(100, 141)} | {7: 7, 8: 7, 9: 7} | {k: 1000 for k in range(1000, 1200)}
-    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.connected_components(spark.createDataFrame([], "a long, b long"), small=small).count() == 0
+    keys = spark.createDataFrame([(b"\x80x", b"a"), (b"a", b"\xff"), (b"q", b"r")], "a binary, b binary")
+    assert {bytes(r.node): bytes(r.root) for r in graph.connected_components(keys, small=small).collect()} == {b"\x80x": b"a", b"a": b"a", b"\xff": b"a", b"q": b"q", b"r": b"q"}
