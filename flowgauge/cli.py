@@ -28,9 +28,12 @@ def run_evaluate(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     gold, outputs = read_gold(spark, a.ground_truth), read_outputs(spark, a.model_output, a.namespace_ids)
     said = [f"Warning: no model output for {r.file}" for r in missing_outputs(gold, outputs).orderBy("file").collect()]
     options = Options(SENSITIVITY if a.sensitivity else DEFAULT, KEYWORDS[a.keywords], a.dedup_predictions, a.direction)
-    scores = evaluate(*paired_docs(gold, outputs), options)
-    write_result(result_document(scores, a.model_name), a.output)
-    return [*said, "Aggregate results (threshold 0.7):", *summary(scores.micro())]
+    scores = evaluate(*paired_docs(gold, outputs), options).keep()
+    try:
+        write_result(result_document(scores, a.model_name), a.output)
+        return [*said, "Aggregate results (threshold 0.7):", *summary(scores.micro())]
+    finally:
+        scores.release()
 
 
 def run_compare(spark: SparkSession, a: argparse.Namespace) -> list[str]:

@@ -19,14 +19,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowgauge.functions.text import tail
 from flowgauge.schemas import JSON_OPTIONS, LOOSE_GRAPH
 
 POLICIES = ("strict", "span", "repair")
 FENCES = [re.compile(r"```json\s*"), re.compile(r"```\s*")]
 FENCED = re.compile(r"```json\s*(\{.*?\})\s*```", re.DOTALL)
 BRACE = re.compile(r"[{}]")
-#: Keys of harvested elements, in the order in which they must stand.
-HARVEST = {"entities": ("id", "type", "text"), "relations": ("source", "target", "type")}
+#: A comma before a closing brace or bracket, a list's first stretch, and its complete elements.
+COMMAS = [(re.compile(r",\s*}"), "}"), (re.compile(r",\s*]"), "]")]
+ENTITIES = re.compile(r'"entities"\s*:\s*\[(.*?)\]', re.DOTALL)
+ENTITY = re.compile(r'\{\s*"id"\s*:\s*"([^"]+)"\s*,\s*"type"\s*:\s*"([^"]+)"\s*,\s*"text"\s*:\s*"([^"]+)"')
+RELATIONS = re.compile(r'"relations"\s*:\s*\[(.*?)\]', re.DOTALL)
+RELATION = re.compile(r'\{\s*"source"\s*:\s*"([^"]+)"\s*,\s*"target"\s*:\s*"([^"]+)"\s*,\s*"type"\s*:\s*"([^"]+)"')
+HARVEST = {"entities": (ENTITIES, ENTITY, ("id", "type", "text")), "relations": (RELATIONS, RELATION, ("source", "target", "type"))}
 
 
 def parsed(text: str) -> Any:
@@ -51,10 +57,9 @@ def closes_at(text: str, start: int, depth: int = 0) -> int | None:
 def harvest(text: str) -> dict | None:
     """Complete elements in the first stretch of each list, up to its first closing bracket."""
     out: dict[str, list[dict[str, str]]] = {}
-    for name, keys in HARVEST.items():
-        stretch = re.search(rf'"{name}"\s*:\s*\[(.*?)\]', text, re.DOTALL)
-        element = r"\{\s*" + r"\s*,\s*".join(rf'"{k}"\s*:\s*"([^"]+)"' for k in keys)
-        out[name] = [dict(zip(keys, values, strict=True)) for values in re.findall(element, stretch[1])] if stretch else []
+    for name, (stretch, element, keys) in HARVEST.items():
+        found = stretch.search(text)
+        out[name] = [dict(zip(keys, values, strict=True)) for values in element.findall(found[1])] if found else []
     return out if any(out.values()) else None
 
 
@@ -64,8 +69,8 @@ def mend(text: str) -> Any:
     if not body:
         return None
     body += "]" * (body.count("[") - body.count("]")) + "}" * depth_of(body)
-    for closing in "}]":
-        body = re.sub(rf",\s*{re.escape(closing)}", closing, body)
+    for commas, closing in COMMAS:
+        body = commas.sub(closing, body)
     got = parsed(body)
     return harvest(body) if got is None else got
 
@@ -146,12 +151,15 @@ def normalize_relations(relations: Column) -> Column:
 
 
 def recovered_pages(pages: DataFrame, policy: str = "strict", rename: bool = True) -> DataFrame:
-    """Adds ``json`` (a graph, null on failure), ``error`` and ``traceback`` to pages with ``raw``."""
+    """Adds to pages with ``raw``: ``json`` (a graph, null on failure), ``error`` and ``traceback``, the
+    numbers of entities and relations (null on failure), and on failure the end of the raw text."""
     got = pages.withColumn("_r", recover_json(F.col("raw"), policy)).withColumn("_g", F.from_json("_r.json", LOOSE_GRAPH, JSON_OPTIONS))
     ends = normalize_relations(F.col("_g.relations")) if rename else F.transform("_g.relations", lambda r: r.dropFields("from", "to"))
     graph = F.when(F.col("_r.json").isNotNull(), F.struct(F.col("_g.entities").alias("entities"), ends.alias("relations")))
     old = lambda c: F.coalesce(c, f"_r.{c}") if c in pages.columns else F.col(f"_r.{c}")
-    return got.withColumns({"json": graph, "error": old("error"), "traceback": old("traceback")}).drop("_r", "_g")
+    got = got.withColumns({"json": graph, "error": old("error"), "traceback": old("traceback")}).drop("_r", "_g")
+    number = lambda key: F.when(F.col("json").isNotNull(), F.coalesce(F.array_size(f"json.{key}"), F.lit(0)))
+    return got.withColumns({"n_entities": number("entities"), "n_relations": number("relations"), "raw_tail": F.when(F.col("json").isNull(), tail(F.col("raw")))})
 
 
 def page_success(pages: DataFrame) -> DataFrame:

@@ -11,19 +11,25 @@ SPACE = r"\s\x1c-\x1f"
 DIGIT = r"\p{Nd}"
 
 
+#: What a white-space strip takes away at either end.
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def normalize_text(text: Column) -> Column:
     """Drop a leading word that ends in ``-``, ``.`` or ``)``, then a leading decimal number;
-    lower-case, delete all but word characters and white space, collapse white space."""
+    lower-case, delete all but word characters and white space, collapse white space.
+
+    Both prefixes go in one match from the start, so that neither is looked for further on.
+    """
     t = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(t, rf"(?U)^[{WORD}]+[-.)][{SPACE}]*", "")
-    t = F.regexp_replace(t, rf"(?U)^{DIGIT}+[.]{DIGIT}+[{SPACE}]*", "")
-    t = F.regexp_replace(F.lower(t), rf"(?U)[^{WORD}{SPACE}]", "")
+    t = F.regexp_extract(t, rf"(?sU)^(?:[{WORD}]+[-.)][{SPACE}]*)?(?:{DIGIT}+[.]{DIGIT}+[{SPACE}]*)?(.*)$", 1)
+    t = F.regexp_replace(F.lower(t), rf"(?U)[^{WORD}{SPACE}]+", "")
     return F.trim(F.regexp_replace(t, rf"(?U)[{SPACE}]+", " "))
 
 
 def short_text(text: Column) -> Column:
     """Lower-case without white space at either end."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(BLANKS))
 
 
 def page_file(name: Column) -> tuple[Column, Column]:

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from flowgauge.functions import keywords, recover, similarity, text
 from flowgauge.operators import matching, metrics, relations
-from flowgauge.plans.evaluate import SENSITIVITY
-from flowgauge.sources import predictions
+from flowgauge.plans.compare import VARIANTS, compare
+from flowgauge.plans.evaluate import SENSITIVITY, Options, evaluate, result_document
+from flowgauge.sources import images, predictions, sinks
+from flowgauge.sources.shared import shared_dir
 
 T = 0.7
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,42 +59,51 @@ def normalize_text(spark, sf_dir):
     return lines(spark, sf_dir).select("id", "kind", text.normalize_text(F.col("line")).alias("norm"), text.short_text(F.col("line")).alias("short"), F.length("line").alias("n_chars"))
 
 
-@query("""WITH kinds AS (SELECT event_type AS a, count(*) AS n FROM events GROUP BY 1)
-SELECT x.a AS a, y.a AS b, x.n AS n, CASE WHEN length(x.a) < 5 OR length(y.a) < 5 THEN CASE WHEN trim(lower(x.a)) = trim(lower(y.a)) THEN 'exact_match_short' ELSE 'mismatch_short' END END AS tier
-FROM kinds x, kinds y""")
+@query("""WITH kinds AS (SELECT DISTINCT user_id, event_type AS a FROM events)
+SELECT x.a AS a, y.a AS b, count(*) AS n, CASE WHEN length(x.a) < 5 OR length(y.a) < 5 THEN CASE WHEN trim(lower(x.a)) = trim(lower(y.a)) THEN 'exact_match_short' ELSE 'mismatch_short' END END AS tier
+FROM kinds x JOIN kinds y ON x.user_id = y.user_id GROUP BY ALL""")
 def short_text_tier(spark, sf_dir):
-    """Event types against each other (a handful)."""
-    kinds = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("a")).agg(F.count("*").alias("n"))
-    rows = kinds.select("a", "n", F.lit(1).alias("k")).join(kinds.select(F.col("a").alias("b"), F.lit(1).alias("k")), "k")
+    """Event types (a handful) of a user against each other."""
+    kinds = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("a")).distinct()
+    rows = kinds.join(kinds.withColumnRenamed("a", "b"), "user_id").groupBy("a", "b").agg(F.count("*").alias("n"))
     short = (F.length("a") < matching.SHORT) | (F.length("b") < matching.SHORT)
     same = text.short_text(F.col("a")) == text.short_text(F.col("b"))
     return rows.select("a", "b", "n", F.when(short & same, "exact_match_short").when(short, "mismatch_short").alias("tier"))
 
 
-@query(f"""WITH s AS (SELECT DISTINCT lang, line FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 10),
-n AS (SELECT lang, {text.normalize_sql('line')} AS norm FROM s),
-d AS (SELECT DISTINCT lang, norm, string_split(norm, ' ')[1:3] AS head FROM n WHERE length(norm) > 10)
-SELECT a.lang AS lang, a.norm AS a, b.norm AS b, round(least(length(a.norm), length(b.norm)) / greatest(length(a.norm), length(b.norm))::DOUBLE, 9) AS overlap
-FROM d a JOIN d b ON a.lang = b.lang AND a.head = b.head AND a.norm < b.norm WHERE (contains(a.norm, b.norm) OR contains(b.norm, a.norm)) AND least(length(a.norm), length(b.norm)) / greatest(length(a.norm), length(b.norm))::DOUBLE >= 0.6""")
+@query(f"""WITH s AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 10),
+d AS (SELECT DISTINCT doc_id, norm, length(norm) AS n FROM (SELECT doc_id, {text.normalize_sql('line')} AS norm FROM s) WHERE length(norm) > 10)
+SELECT a.doc_id, a.norm AS a, b.norm AS b, round(a.n / b.n::DOUBLE, 9) AS overlap
+FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.n < b.n AND a.n / b.n::DOUBLE >= 0.6 WHERE contains(b.norm, a.norm)""")
 def substring_tier(spark, sf_dir):
-    """Distinct lines of documents that start with the same three words, one containing the other."""
-    rows = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") > 10)
-    norm = rows.distinct().select("lang", text.normalize_text(F.col("line")).alias("norm")).where(F.length("norm") > matching.CONTAINED)
-    norm = norm.distinct().withColumn("head", F.slice(F.split("norm", " "), 1, 3))
-    a, b = norm.withColumnRenamed("norm", "a"), norm.withColumnRenamed("norm", "b")
-    part = similarity.overlap(F.col("a"), F.col("b"))
-    return a.join(b, ["lang", "head"]).where("a < b").withColumn("overlap", part).where(F.col("overlap") >= matching.OVERLAP).select("lang", "a", "b", F.round("overlap", 9).alias("overlap"))
+    """Lines of a document that lie within another one, at whatever place.
 
+    A line's inner words are whole words of any line that holds it, so it is looked up by its
+    longest inner word; lines of one or two words are compared with the document's longer ones.
+    """
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") > matching.CONTAINED)
+    norm = rows.distinct().select("doc_id", text.normalize_text(F.col("line")).alias("norm")).where(F.length("norm") > matching.CONTAINED)
+    norm = norm.distinct().withColumn("words", F.split("norm", " "))
+    inner = F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    a = norm.select("doc_id", F.col("norm").alias("a"), longest.alias("word"))
+    b = norm.select("doc_id", F.col("norm").alias("b"), F.explode(F.array_distinct("words")).alias("word"))
+    whole = norm.select("doc_id", F.col("norm").alias("b"))
+    near = (F.length("a") < F.length("b")) & (F.length("a") / F.length("b") >= F.lit(matching.OVERLAP)) & F.contains("b", "a")
+    pairs = a.where("word is not null").join(b, ["doc_id", "word"]).where(near).select("doc_id", "a", "b")
+    pairs = pairs.union(a.where("word is null").drop("word").join(whole, "doc_id").where(near))
+    return pairs.select("doc_id", "a", "b", F.round(similarity.overlap(F.col("a"), F.col("b")), 9).alias("overlap"))
 
-NAMES = "SELECT DISTINCT p_name AS name FROM part"
 
+NAMES = "SELECT DISTINCT p_brand, p_type, p_name AS name FROM part"
 
-@query(f"SELECT a, b, ({similarity.percent_sql('a', 'b')})::INTEGER AS pct FROM (SELECT x.name AS a, y.name AS b FROM ({NAMES}) x, ({NAMES}) y)")
+
+@query(f"SELECT a, b, ({similarity.percent_sql('a', 'b')})::INTEGER AS pct FROM (SELECT DISTINCT x.name AS a, y.name AS b FROM ({NAMES}) x JOIN ({NAMES}) y ON x.p_brand = y.p_brand AND x.p_type = y.p_type)")
 def fuzzy_ratio(spark, sf_dir):
-    """Distinct part names (a few dozen) against each other."""
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("a"), F.lit(1).alias("k")).distinct()
-    rows = names.join(names.withColumnRenamed("a", "b"), "k")
-    return rows.select("a", "b", similarity.fuzzy_percent(F.col("a"), F.col("b"), native=True).cast("int").alias("pct"))
+    """Distinct names of parts of a brand and type against each other."""
+    names = table(spark, sf_dir, "part").select("p_brand", "p_type", F.col("p_name").alias("a")).distinct()
+    rows = names.join(names.withColumnRenamed("a", "b"), ["p_brand", "p_type"]).select("a", "b").distinct()
+    return rows.select("a", "b", similarity.fuzzy_percent(F.col("a"), F.col("b")).cast("int").alias("pct"))
 
 
 STOP = ", ".join(f"'{w}'" for w in keywords.STOP)
@@ -112,17 +123,13 @@ def keyword_jaccard(spark, sf_dir):
 # --- entities --------------------------------------------------------------------------
 
 
-def part_entities(spark: SparkSession, sf_dir: str, odd: int, ident: str = "p_partkey", variant: bool = False) -> DataFrame:
+def part_entities(spark: SparkSession, sf_dir: str, odd: int, ident: str = "p_partkey") -> DataFrame:
     rows = table(spark, sf_dir, "part").where(F.col("p_partkey") % 2 == odd)
-    cols = [F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("idx"), F.col(ident).cast("string").alias("id"), F.col("p_type").alias("type"), F.col("p_name").alias("text")]
-    if variant:
-        cols.append((F.col("p_size") % 2).cast("int").alias("variant"))
-    return matching.described(rows.select(*cols))
+    return rows.select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("idx"), F.col(ident).cast("string").alias("id"), F.col("p_type").alias("type"), F.col("p_name").alias("text"))
 
 
-def part_pairs(spark, sf_dir, thresholds, ident="p_partkey", variant=False) -> DataFrame:
-    pred, gold = part_entities(spark, sf_dir, 0, ident, variant), part_entities(spark, sf_dir, 1, ident)
-    pairs = matching.candidate_pairs(pred, gold, min(thresholds), memo=True)
+def part_pairs(spark, sf_dir, thresholds, ident="p_partkey") -> DataFrame:
+    pairs = matching.candidate_pairs(part_entities(spark, sf_dir, 0, ident), part_entities(spark, sf_dir, 1, ident), min(thresholds), memo=True)
     return matching.matches_at(pairs, thresholds)
 
 
@@ -145,10 +152,9 @@ matched{tag} AS (SELECT threshold, p.p_brand AS doc_id, p.p_partkey AS pred_idx,
   WHERE ({where}) AND (tier IN ('exact_match_short', 'exact_match', 'substring_match') OR tier IS NULL AND fuzzy >= threshold))"""
 
 
-def greedy_sql(thresholds, ident: str = "p_partkey", tag: str = "", where: str = "TRUE") -> str:
-    """CTEs up to accepted (with rank); needs WITH RECURSIVE."""
-    return f"""{pairs_sql(thresholds, ident, tag, where)},
-edges{tag} AS (SELECT *, row_number() OVER (PARTITION BY threshold, doc_id ORDER BY score DESC, pred_idx, gt_idx) AS k FROM matched{tag}),
+def fold_sql(tag: str = "") -> str:
+    """CTEs from matched to accepted (with rank); needs WITH RECURSIVE."""
+    return f"""edges{tag} AS (SELECT *, row_number() OVER (PARTITION BY threshold, doc_id ORDER BY score DESC, pred_idx, gt_idx) AS k FROM matched{tag}),
 fold{tag}(threshold, doc_id, k, ps, gs, took) AS (
   SELECT threshold, doc_id, 0::BIGINT, []::BIGINT[], []::BIGINT[], FALSE FROM (SELECT DISTINCT threshold, doc_id FROM edges{tag})
   UNION ALL SELECT f.threshold, f.doc_id, e.k, CASE WHEN free THEN list_append(ps, e.pred_idx) ELSE ps END, CASE WHEN free THEN list_append(gs, e.gt_idx) ELSE gs END, free
@@ -156,6 +162,11 @@ fold{tag}(threshold, doc_id, k, ps, gs, took) AS (
 accepted{tag} AS (SELECT e.*, len(f.ps)::INTEGER AS rank FROM fold{tag} f JOIN edges{tag} e ON e.threshold = f.threshold AND e.doc_id = f.doc_id AND e.k = f.k WHERE took)"""
 
 
+def greedy_sql(thresholds, ident: str = "p_partkey", tag: str = "", where: str = "TRUE") -> str:
+    """CTEs up to accepted."""
+    return f"{pairs_sql(thresholds, ident, tag, where)},\n{fold_sql(tag)}"
+
+
 PAIR_COLS = "doc_id, pred_idx, gt_idx, round(score, 9) AS score, method"
 
 
@@ -169,13 +180,6 @@ def greedy_match(spark, sf_dir):
     return accepted_parts(spark, sf_dir, [T]).select("doc_id", "pred_idx", "gt_idx", F.round("score", 9).alias("score"), "method", "rank")
 
 
-@query(f"WITH RECURSIVE {greedy_sql([T])} SELECT {PAIR_COLS}, rank FROM accepted")
-def greedy_match_fold(spark, sf_dir):
-    """The same by a fold of built-in functions."""
-    rows = matching.greedy_fold(part_pairs(spark, sf_dir, [T]))
-    return rows.select("doc_id", "pred_idx", "gt_idx", F.round("score", 9).alias("score"), "method", "rank")
-
-
 @query(f"WITH RECURSIVE {greedy_sql(SENSITIVITY)} SELECT threshold, method, count(*) AS n FROM accepted GROUP BY ALL")
 def method_counts(spark, sf_dir):
     return matching.method_counts(accepted_parts(spark, sf_dir, SENSITIVITY))
@@ -187,6 +191,38 @@ def entity_map_last_wins(spark, sf_dir):
     return matching.entity_map(accepted_parts(spark, sf_dir, [T], "p_size"))
 
 
+#: Parts as entities of four words; what gold says of each is derived from it, so that a certain tier must decide.
+WORDED = """SELECT doc_id, idx, t AS pred, CASE kind WHEN 0 THEN concat(b, ' ', c, ' ', a) WHEN 1 THEN concat(t, ' met zorg') WHEN 2 THEN concat(b, ' ', c, ' ', replace(a, 'e', 'ee'))
+  WHEN 3 THEN concat('0) ', upper(t)) WHEN 4 THEN left(t, 4) ELSE concat('vul ', replace(t, 'a', 'o')) END AS gold
+  FROM (SELECT *, concat(a, ' ', b, ' ', c) AS t FROM (SELECT p_partkey // 4 AS doc_id, p_partkey AS idx, (p_partkey // 2) % 6 AS kind, p_name AS a, lower(p_type) AS b, concat('doos ', p_size) AS c FROM part))"""
+KEYWORDS_OF = lambda c: KEYS.replace("text", c)
+
+
+@query(f"""WITH RECURSIVE worded AS ({WORDED}), sides AS (SELECT pred AS x FROM worded UNION SELECT gold FROM worded),
+said AS (SELECT x, {text.normalize_sql('x')} AS n, {text.short_sql('x')} AS s, {KEYWORDS_OF('x')} AS k FROM sides),
+met AS (SELECT p.doc_id, p.idx AS pred_idx, g.idx AS gt_idx, a.x AS ta, b.x AS tb, a.n AS na, b.n AS nb, a.s AS sa, b.s AS sb, a.k AS ka, b.k AS kb FROM worded p JOIN worded g ON p.doc_id = g.doc_id JOIN said a ON a.x = p.pred JOIN said b ON b.x = g.gold),
+feats AS (SELECT *, CASE WHEN length(ta) < 5 OR length(tb) < 5 THEN CASE WHEN sa = sb THEN 'exact_match_short' ELSE 'mismatch_short' END WHEN na = nb THEN 'exact_match'
+  WHEN length(na) > 10 AND length(nb) > 10 AND (contains(na, nb) OR contains(nb, na)) AND least(length(na), length(nb)) / greatest(length(na), length(nb))::DOUBLE >= 0.6 THEN 'substring_match' END AS tier,
+  least(length(na), length(nb)) / greatest(length(na), length(nb))::DOUBLE AS part, ({similarity.percent_sql('na', 'nb')}) / 100.0::DOUBLE AS fuzzy,
+  CASE WHEN len(ka) > 0 AND len(kb) > 0 THEN len(list_intersect(ka, kb)) / len(list_distinct(list_concat(ka, kb)))::DOUBLE ELSE 0.0 END AS shared FROM met),
+matched AS (SELECT {T}::DOUBLE AS threshold, *, CASE WHEN tier LIKE 'exact%' THEN 1.0::DOUBLE WHEN tier = 'substring_match' THEN part WHEN fuzzy >= {T} THEN fuzzy ELSE shared END AS score,
+  coalesce(tier, CASE WHEN fuzzy >= {T} THEN 'semantic_match' ELSE 'keyword_match' END) AS method FROM feats WHERE tier IN ('exact_match_short', 'exact_match', 'substring_match') OR tier IS NULL AND (fuzzy >= {T} OR shared >= {T})),
+{fold_sql()} SELECT doc_id, pred_idx, gt_idx, round(score, 9) AS score, method, rank FROM accepted""")
+def cascade_tiers(spark, sf_dir):
+    """A cascade in which each tier decides some pairs: containment before a higher ratio, keywords where word order differs."""
+    a, b, c, key = F.col("p_name"), F.lower("p_type"), F.concat(F.lit("doos "), F.col("p_size").cast("string")), F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(F.floor(key / 4).alias("doc_id"), key.alias("idx"), (F.floor(key / 2) % 6).alias("kind"), a.alias("a"), b.alias("b"), c.alias("c"), F.concat_ws(" ", a, b, c).alias("t"))
+    t, a, b, c = (F.col(x) for x in ("t", "a", "b", "c"))
+    made = [F.concat_ws(" ", b, c, a), F.concat(t, F.lit(" met zorg")), F.concat_ws(" ", b, c, F.replace(a, F.lit("e"), F.lit("ee"))), F.concat(F.lit("0) "), F.upper(t)), F.left(t, F.lit(4)), F.concat(F.lit("vul "), F.replace(t, F.lit("a"), F.lit("o")))]
+    gold = F.lit(None).cast("string")
+    for k, x in enumerate(made):
+        gold = F.when(F.col("kind") == k, x).otherwise(gold)
+    side = lambda x: rows.select("doc_id", "idx", F.col("idx").cast("string").alias("id"), F.lit("Action").alias("type"), x.alias("text"))
+    pairs = matching.candidate_pairs(side(t), side(gold), T, keywords=keywords.token_keywords)
+    found = matching.greedy_match(matching.matches_at(pairs, [T]))
+    return found.select("doc_id", "pred_idx", "gt_idx", F.round("score", 9).alias("score"), "method", "rank")
+
+
 # --- relations -------------------------------------------------------------------------
 
 EDGES = """SELECT a.p_brand AS doc_id, a.p_partkey::VARCHAR AS source, b.p_partkey::VARCHAR AS target, 'isPreceededBy' AS type, a.p_partkey % 2 AS odd, a.p_size % 2 AS variant
@@ -195,21 +231,47 @@ EDGES = """SELECT a.p_brand AS doc_id, a.p_partkey::VARCHAR AS source, b.p_partk
 TWICE = "SELECT * FROM edges_all WHERE odd = 0 UNION ALL SELECT e.* FROM edges_all e JOIN part ON p_partkey::VARCHAR = source WHERE odd = 0 AND p_size % 5 = 0"
 
 
-def part_edges(spark, sf_dir, odd: int, variant: bool = False) -> DataFrame:
+def part_edges(spark, sf_dir, odd: int) -> DataFrame:
     rows = table(spark, sf_dir, "part").where(F.col("p_partkey") % 2 == odd).select(F.col("p_brand").alias("doc_id"), F.col("p_type").alias("t"), "p_partkey", "p_size")
     later = rows.withColumnRenamed("p_partkey", "later")
     pairs = later.join(rows.drop("p_size").withColumnRenamed("p_partkey", "earlier"), ["doc_id", "t"]).where("later > earlier")
     if odd == 0:
         pairs = pairs.withColumn("_", F.explode(F.when(F.col("p_size") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
-    cols = ["doc_id", F.col("later").cast("string").alias("source"), F.col("earlier").cast("string").alias("target"), F.lit("isPreceededBy").alias("type")]
-    return pairs.select(*cols, *([(F.col("p_size") % 2).alias("variant")] if variant else []))
+    return pairs.select("doc_id", F.col("later").cast("string").alias("source"), F.col("earlier").cast("string").alias("target"), F.lit("isPreceededBy").alias("type"), (F.col("p_size") % 2).alias("variant"))
+
+
+def part_docs(spark, sf_dir, odd: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A document for each brand (and variant: the parity of sizes, of edges that of their source), with its entities in the order of keys."""
+    keys = ["doc_id", *carry]
+    parts = table(spark, sf_dir, "part").withColumns({"doc_id": F.col("p_brand"), "variant": F.col("p_size") % 2})
+    if carry:  # each brand in both variants, with parts or without
+        parts = parts.withColumn("own", F.col("variant")).withColumn("variant", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("mine", F.col("own") == F.col("variant"))
+    else:
+        parts = parts.withColumn("mine", F.lit(True))
+    entity = F.struct("p_partkey", F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_type").alias("type"), F.col("p_name").alias("text")).alias("e"))
+    listed = F.array_sort(F.collect_list(F.when((F.col("p_partkey") % 2 == odd) & F.col("mine"), entity)))
+    docs = parts.groupBy(*keys).agg(F.transform(listed, lambda x: x["e"]).alias("entities"))
+    edges = part_edges(spark, sf_dir, odd).withColumn("label", F.lit(None).cast("string"))
+    edges = edges.groupBy(*keys).agg(F.collect_list(F.struct("source", "target", "type", "label")).alias("relations"))
+    return docs.join(edges, keys, "left")
+
+
+def scored_parts(spark, sf_dir, thresholds):
+    return evaluate(part_docs(spark, sf_dir, 0), part_docs(spark, sf_dir, 1), Options(thresholds, memo=True))
+
+
+EDGES_SQL = f"edges_all AS ({EDGES}), pred_edges AS ({TWICE}), gold_edges AS (SELECT DISTINCT doc_id, source, target, type FROM edges_all WHERE odd = 1)"
+
+
+def hits_sql(tag: str = "", where: str = "TRUE") -> str:
+    """CTEs emap and rel_hits of accepted."""
+    return f"""emap{tag} AS (SELECT threshold, doc_id, pred_id, arg_max(gt_id, rank) AS gt_id FROM accepted{tag} GROUP BY ALL),
+rel_hits{tag} AS (SELECT s.threshold, p.doc_id, count(*) AS tp FROM pred_edges p JOIN emap{tag} s ON s.doc_id = p.doc_id AND s.pred_id = p.source JOIN emap{tag} t ON t.doc_id = p.doc_id AND t.pred_id = p.target AND t.threshold = s.threshold
+  SEMI JOIN gold_edges g ON g.doc_id = p.doc_id AND g.source = s.gt_id AND g.target = t.gt_id AND g.type = p.type WHERE {where} GROUP BY ALL)"""
 
 
 def relation_sql(thresholds) -> str:
-    return f"""{greedy_sql(thresholds)}, edges_all AS ({EDGES}), pred_edges AS ({TWICE}), gold_edges AS (SELECT DISTINCT doc_id, source, target, type FROM edges_all WHERE odd = 1),
-emap AS (SELECT threshold, doc_id, pred_id, arg_max(gt_id, rank) AS gt_id FROM accepted GROUP BY ALL),
-rel_hits AS (SELECT s.threshold, p.doc_id, count(*) AS tp FROM pred_edges p JOIN emap s ON s.doc_id = p.doc_id AND s.pred_id = p.source JOIN emap t ON t.doc_id = p.doc_id AND t.pred_id = p.target AND t.threshold = s.threshold
-  SEMI JOIN gold_edges g ON g.doc_id = p.doc_id AND g.source = s.gt_id AND g.target = t.gt_id AND g.type = p.type GROUP BY ALL)"""
+    return f"{greedy_sql(thresholds)}, {EDGES_SQL}, {hits_sql()}"
 
 
 def part_relation_hits(spark, sf_dir, thresholds) -> DataFrame:
@@ -222,26 +284,6 @@ def relation_match(spark, sf_dir):
     return part_relation_hits(spark, sf_dir, [T])
 
 
-def part_counts(spark, sf_dir, thresholds) -> DataFrame:
-    """tp, fp, fn of entities and relations per threshold and brand."""
-
-    def sizes(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("doc_id").agg(F.count("*").alias(name))
-
-    def both(pred: DataFrame, gold: DataFrame) -> DataFrame:
-        docs = table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id")).distinct()
-        rows = docs.join(sizes(pred, "n_pred"), "doc_id", "left").join(sizes(gold, "n_gt"), "doc_id", "left").na.fill(0, ["n_pred", "n_gt"])
-        return rows.select("*", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold"))
-
-    accepted = accepted_parts(spark, sf_dir, thresholds).persist()  # read three times
-    found = accepted.groupBy("threshold", "doc_id").agg(F.count("*").alias("tp"))
-    side = lambda odd: table(spark, sf_dir, "part").where(F.col("p_partkey") % 2 == odd).select(F.col("p_brand").alias("doc_id"))
-    entity = metrics.counts_per_doc(both(side(0), side(1)), found, "entities")
-    pred, gold = part_edges(spark, sf_dir, 0), part_edges(spark, sf_dir, 1)
-    hits = relations.relation_hits(pred, gold, matching.entity_map(accepted))
-    return entity.unionByName(metrics.counts_per_doc(both(pred, gold), hits, "relations"))
-
-
 def counts_sql(thresholds) -> str:
     values = ", ".join(f"({t}::DOUBLE)" for t in thresholds)
     return f"""{relation_sql(thresholds)}, ent_hits AS (SELECT threshold, doc_id, count(*) AS tp FROM accepted GROUP BY ALL),
@@ -267,38 +309,35 @@ SUMS = "SELECT threshold, target, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp,
 
 @query(f"WITH RECURSIVE {counts_sql([T])} {prf_sql(SUMS, 'threshold, target')}")
 def prf_micro(spark, sf_dir):
-    return rounded(metrics.micro(part_counts(spark, sf_dir, [T])))
+    return rounded(scored_parts(spark, sf_dir, [T]).micro())
 
 
 @query(f"WITH RECURSIVE {counts_sql([T])} {prf_sql('SELECT * FROM counts', 'threshold, doc_id, target')}")
 def prf_per_doc(spark, sf_dir):
-    return rounded(metrics.with_prf(part_counts(spark, sf_dir, [T])))
+    return rounded(scored_parts(spark, sf_dir, [T]).per_doc)
 
 
 @query(f"WITH RECURSIVE {counts_sql(SENSITIVITY)} {prf_sql(SUMS, 'threshold, target')}")
 def threshold_sweep(spark, sf_dir):
-    return rounded(metrics.micro(part_counts(spark, sf_dir, SENSITIVITY)))
+    return rounded(scored_parts(spark, sf_dir, SENSITIVITY).micro())
 
 
 def variant_sql() -> str:
-    sides = ", ".join(f"{greedy_sql([T], tag=f'_{v}', where=f'p.p_size % 2 = {v}')}" for v in (0, 1))
-    f1 = lambda v: f"(SELECT 2.0::DOUBLE * count(*) / ((SELECT count(*) FROM part WHERE p_partkey % 2 = 0 AND p_size % 2 = {v}) + (SELECT count(*) FROM part WHERE p_partkey % 2 = 1)) FROM accepted_{v})"
-    return f"WITH RECURSIVE {sides} SELECT {T}::DOUBLE AS threshold, round({f1(1)}, 9) AS enhanced_f1, round({f1(0)}, 9) AS standard_f1, round({f1(1)} - {f1(0)}, 9) AS entities_f1"
+    sides = ", ".join(f"{greedy_sql([T], tag=f'_{v}', where=f'p.p_size % 2 = {v}')}, {hits_sql(f'_{v}', f'p.variant = {v}')}" for v in (0, 1))
+    entities = lambda v: f"(SELECT 2.0::DOUBLE * count(*) / ((SELECT count(*) FROM part WHERE p_partkey % 2 = 0 AND p_size % 2 = {v}) + (SELECT count(*) FROM part WHERE p_partkey % 2 = 1)) FROM accepted_{v})"
+    relations_ = lambda v: f"(SELECT 2.0::DOUBLE * coalesce(sum(tp), 0) / ((SELECT count(*) FROM pred_edges WHERE variant = {v}) + (SELECT count(*) FROM edges_all WHERE odd = 1)) FROM rel_hits_{v})"
+    cols = [f"round({f(v)}, 9) AS {name}_{kind}" for kind, f in (("entities", entities), ("relations", relations_)) for v, name in ((1, "enhanced"), (0, "standard"))]
+    gains = [f"round({f(1)} - {f(0)}, 9) AS {kind}_f1" for kind, f in (("entities", entities), ("relations", relations_))]
+    return f"WITH RECURSIVE {EDGES_SQL}, {sides} SELECT {T}::DOUBLE AS threshold, {', '.join(cols + gains)}"
 
 
 @query(variant_sql())
 def compare_variants(spark, sf_dir):
     """Parts of odd size as the enhanced variant, of even size as the standard one; all gold for both."""
-    pred = part_entities(spark, sf_dir, 0, variant=True)
-    gold = part_entities(spark, sf_dir, 1).withColumn("variant", F.explode(F.array(F.lit(0), F.lit(1))))
-    keys = ("doc_id", "variant")
-    accepted = matching.greedy_match(matching.matches_at(matching.candidate_pairs(pred, gold, T, keys, memo=True), [T], keys), keys)
-    count = lambda rows, name: rows.groupBy("variant").agg(F.count("*").alias(name))
-    rows = count(pred, "np").join(count(gold, "ng"), "variant").join(count(accepted, "tp"), "variant", "left").na.fill(0, ["tp"])
-    rows = metrics.with_prf(rows.select("variant", "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn")))
-    of = lambda v: F.max(F.when(F.col("variant") == v, F.col("f1")))
-    both = rows.agg(of(1).alias("e"), of(0).alias("s"))
-    return both.select(F.lit(T).alias("threshold"), F.round("e", 9).alias("enhanced_f1"), F.round("s", 9).alias("standard_f1"), F.round(F.col("e") - F.col("s"), 9).alias("entities_f1"))
+    pred = part_docs(spark, sf_dir, 0, ("variant",)).withColumn("variant", F.when(F.col("variant") == 1, VARIANTS[0]).otherwise(VARIANTS[1]))
+    got = compare(pred, part_docs(spark, sf_dir, 1), Options([T], memo=True))
+    f1 = [F.round(f"{v}.{kind}.f1", 9).alias(f"{v}_{kind}") for kind in ("entities", "relations") for v in VARIANTS]
+    return got.select("threshold", *f1, *(F.round(f"improvement.{k}_f1", 9).alias(f"{k}_f1") for k in ("entities", "relations")))
 
 
 @query(prf_sql("""SELECT count(*) FILTER (quality = 1 AND hit) AS tp, count(*) FILTER (quality = 0 AND hit) AS fp, count(*) FILTER (quality = 1 AND NOT hit) AS fn
@@ -431,12 +470,61 @@ def stub_model():
 
 @query("""SELECT page_id::VARCHAR AS doc_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS text, NOT contains(html, '<h1>') AS failed FROM pages""")
 def extract_stub(spark, sf_dir):
-    from flowgauge.sources import images
-
     rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.encode("html", "utf-8").alias("content"))
     got = recover.recovered_pages(images.extract(rows, stub_model, images.PROMPTS["enhanced"]), "strict")
     return got.select("doc_id", F.coalesce(F.col("json.entities")[0]["text"], F.lit("")).alias("text"), F.col("error").isNotNull().alias("failed"))
 
 
+@query(f"""SELECT event_id, CASE WHEN event_id % 6 < 4 THEN 1 END AS n_entities, CASE WHEN event_id % 6 < 4 THEN 1 END AS n_relations, CASE WHEN event_id % 6 >= 4 THEN right({RAW}, 200) END AS raw_tail
+FROM (SELECT *, concat(repeat(' ', 300), {OBJ}) AS obj FROM events)""")
+def page_records(spark, sf_dir):
+    """What a page's record says beside its graph: numbers of elements, or the end of the raw text."""
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "user_id", "event_type", f"concat(repeat(' ', 300), {OBJ}) AS obj")
+    got = recover.recovered_pages(rows.selectExpr("event_id", f"{RAW.replace('chr(10)', 'char(10)')} AS raw"), "strict")
+    return got.select("event_id", "n_entities", "n_relations", "raw_tail")
+
+
+#: Brands as guides: which output file a guide has depends on its number; page 1 of an output ends at this key.
+GUIDE, FIRST_PAGE = "regexp_extract(p_brand, '[0-9]+')::INTEGER", 100
+FILE_THRESHOLDS = [T, 0.9]
+
+
+def guide_folders(spark, sf_dir) -> tuple[str, str, str]:
+    """Folders of gold files and outputs, and one for a result."""
+    n = F.regexp_extract("doc_id", "[0-9]+", 0).cast("int")
+    name = F.concat(F.lit("guide"), n, F.lit(".json"))
+    base = shared_dir(spark, "guides")
+    graph = F.to_json(F.struct("entities", "relations")).alias("value")
+    sinks.write_files(part_docs(spark, sf_dir, 1).select(name.alias("name"), graph), f"{base}/gold")
+    pred = part_docs(spark, sf_dir, 0).withColumn("n", n)
+    sinks.write_files(pred.where("n % 4 = 1").select(F.concat(F.lit(predictions.PREFIX), F.upper(name)).alias("name"), graph), f"{base}/out")
+    none = F.lit(None).cast("string")
+    some = lambda keep: F.filter("entities", lambda e: keep(e["id"].cast("long") <= FIRST_PAGE))
+    graphs = [F.struct(some(lambda c: c).alias("entities"), F.col("relations")), None, F.struct(some(lambda c: ~c).alias("entities"), F.slice("relations", 1, 0).alias("relations"))]
+    kind = "struct<entities: array<struct<id: string, type: string, text: string>>, relations: array<struct<source: string, target: string, type: string, label: string>>>"
+    page = lambda k, g: F.struct(F.lit(k + 1).alias("page"), none.alias("raw"), (g if g is not None else F.lit(None)).cast(kind).alias("json"), F.lit("unreadable" if g is None else None).cast("string").alias("error"))
+    pages = pred.where("n % 4 in (0, 2)").select(F.concat(F.when(F.col("n") % 4 == 2, predictions.PREFIX).otherwise(""), F.lit("guide"), "n").alias("doc_id"), F.explode(F.array(*(page(k, g) for k, g in enumerate(graphs)))).alias("p"))
+    sinks.write_documents(pages.select("doc_id", "p.*"), f"{base}/out")
+    return f"{base}/gold", f"{base}/out", f"{base}/result"
+
+
+@query(f"""WITH RECURSIVE {counts_sql(FILE_THRESHOLDS)}, kept AS (SELECT c.* FROM counts c JOIN (SELECT DISTINCT p_brand, {GUIDE} AS n FROM part) ON p_brand = doc_id WHERE n % 4 <> 3),
+named AS (SELECT threshold, concat('guide', regexp_extract(doc_id, '[0-9]+'), '.json') AS file, target, tp, fp, fn, NULL::BIGINT AS n FROM kept
+  UNION ALL SELECT threshold, '*', target, sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT, CASE WHEN target = 'entities' THEN sum(tp)::BIGINT END FROM kept GROUP BY threshold, target)
+SELECT threshold::VARCHAR AS threshold, file, max(tp) FILTER (target = 'entities') AS entities_tp, max(fp) FILTER (target = 'entities') AS entities_fp, max(fn) FILTER (target = 'entities') AS entities_fn,
+  max(tp) FILTER (target = 'relations') AS relations_tp, max(fp) FILTER (target = 'relations') AS relations_fp, max(fn) FILTER (target = 'relations') AS relations_fn, max(n) AS n_matches FROM named GROUP BY ALL""")
+def score_files(spark, sf_dir):
+    """Gold files and outputs, written and read back, scored, and the result document written and read back."""
+    gold, out, result = guide_folders(spark, sf_dir)
+    scores = evaluate(*predictions.paired_docs(predictions.read_gold(spark, gold), predictions.read_outputs(spark, out)), Options(FILE_THRESHOLDS, memo=True))
+    sinks.write_result(result_document(scores, "stub"), result)
+    rows = sinks.read_result(spark, result).select(F.explode("results").alias("threshold", "r"))
+    total = F.struct(F.lit("*").alias("file"), F.col("r.aggregate.entities").alias("entities"), F.col("r.aggregate.relations").alias("relations"), F.aggregate(F.map_values("r.match_stats"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
+    each = F.transform("r.per_file", lambda f: F.struct(f["file"].alias("file"), f["entities"].alias("entities"), f["relations"].alias("relations"), F.lit(None).cast("bigint").alias("n")))
+    rows = rows.select("threshold", F.inline(F.concat(F.array(total), each)))
+    counts = [F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in ("entities", "relations") for c in ("tp", "fp", "fn")]
+    return rows.select("threshold", "file", *counts, F.col("n").alias("n_matches"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_sweep(spark, sf_dir)

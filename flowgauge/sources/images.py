@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import traceback
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +31,26 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(doc.alias("doc_id"), page.alias("page"), "path", "content").where("doc_id is not null")
 
 
+_models: dict[str, Callable[[bytes, str], str]] = {}
+
+
+def kept_model(key: str, make_model: ModelFactory) -> Callable[[bytes, str], str]:
+    if key not in _models:
+        _models.clear()
+        _models[key] = make_model()
+    return _models[key]
+
+
 def extract(pages: DataFrame, make_model: ModelFactory, prompt: str, partitions: int | None = None) -> DataFrame:
-    """doc_id, page, raw, error, traceback. A page that fails is a row with its error."""
+    """doc_id, page, raw, error, traceback. A page that fails is a row with its error.
+
+    A Python worker makes the model once and keeps it for its later tasks, until it is asked
+    for another one.
+    """
+    key = hashlib.sha256(cloudpickle.dumps(make_model)).hexdigest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make_model()
+        model = kept_model(key, make_model)
         for batch in batches:
             out = []
             for doc, page, content in zip(batch["doc_id"], batch["page"], batch["content"], strict=True):

@@ -22,18 +22,19 @@ def arriving_outputs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_name").alias("doc_id"), "value")
 
 
-def rescore(spark: SparkSession, folder: str, gold: DataFrame, out: str, checkpoint: str, options: Options | None = None) -> StreamingQuery:
+def rescore(spark: SparkSession, folder: str, gold: DataFrame, out: str, checkpoint: str, options: Options | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Append ``batch`` and the counts of each arriving document to the table at ``out``.
 
-    A batch that is repeated after a failure overwrites its own folder.
+    A batch that is repeated after a failure overwrites its own folder. ``trigger`` has the
+    arguments of Spark's trigger, as ``{"processingTime": "1 minute"}`` for a query that goes on;
+    without it the query scores what is there and ends.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         pred = parsed_outputs(rows.withColumnRenamed("doc_id", "file")).withColumnRenamed("file", "doc_id")
-        scores = evaluate(pred, gold, options)
-        scores.per_doc.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        evaluate(pred, gold, options).per_doc.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return arriving_outputs(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return arriving_outputs(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def totals(spark: SparkSession, out: str) -> DataFrame:

@@ -17,14 +17,14 @@ DOC = "doc_id string, entities array<struct<id: string, type: string, text: stri
 ent = lambda i, t, x: {"id": i, "type": t, "text": x}
 rel = lambda s, t: {"source": s, "target": t, "type": "isPreceededBy"}
 GOLD = {
-    "entities": [ent("G1", "Action", "Wissel product"), ent("G2", "Decision", "Voldoet de kap aan specificaties?"), ent("G3", "Condition", "Ja"), ent("G4", "Action", "Controleer sensorkabel")],
+    "entities": [ent("G1", "Action", "Vervang filter"), ent("G2", "Decision", "Past deze klep op alle leidingen?"), ent("G3", "Condition", "Ja"), ent("G4", "Action", "Bekijk watermeter")],
     "relations": [rel("G2", "G1")],
 }
 PAGE1 = {
-    "entities": [ent("E1", "Action", "0) Wissel product"), ent("E2", "Decision", "Voldoet de kap aan specificatie?"), ent("E3", "Condition", "ja ")],
+    "entities": [ent("E1", "Action", "0) Vervang filter"), ent("E2", "Decision", "Past deze klep op alle leidinge?"), ent("E3", "Condition", "ja ")],
     "relations": [rel("E2", "E1"), rel("E2", "E1")],
 }
-PAGE2 = {"entities": [ent("E1", "Action", "Controleer de sensorkabel")], "relations": []}
+PAGE2 = {"entities": [ent("E1", "Action", "Bekijk de watermeter")], "relations": []}
 
 
 def docs(spark, graphs):
@@ -82,7 +82,7 @@ def test_ties_empty_and_missing(spark):
     assert all(r.f1 == 0 for r in scores.per_doc.where("doc_id = 'both'").collect())
 
 
-WORDS = ["kap", "steun", "los", "de", "wissel", "product", "ja", "nee", "sensor kabel", "controleer"]
+WORDS = ["klep", "buis", "vast", "de", "vervang", "filter", "ja", "nee", "water meter", "bekijk"]
 
 
 def random_graph(rng, n):
@@ -110,12 +110,17 @@ def test_random_documents_as_plain(spark):
         assert methods == total
 
 
-def test_fold_and_stream_agree(spark):
+def test_greedy_as_plain(spark):
+    """Ranks and positions of the assignment, with native features, too."""
     rng = random.Random(6)
-    pred, gold = docs(spark, {"a": random_graph(rng, 30), "b": random_graph(rng, 30)}), docs(spark, {"a": random_graph(rng, 30), "b": random_graph(rng, 30)})
-    rows = matching.matches_at(matching.candidate_pairs(matching.entity_rows(pred), matching.entity_rows(gold), 0.6, native=True), [0.6, 0.9])
-    key = lambda df: sorted((r.threshold, r.doc_id, r.pred_idx, r.gt_idx, r["rank"]) for r in df.collect())
-    assert key(matching.greedy_match(rows)) == key(matching.greedy_fold(rows)) != []
+    pred, gold = ({k: random_graph(rng, 30) for k in "ab"} for _ in range(2))
+    p, g = (matching.entity_rows(docs(spark, x)) for x in (pred, gold))
+    got = {}
+    for native in (False, True):
+        rows = matching.matches_at(matching.candidate_pairs(p, g, 0.6, native=native), [0.6, 0.9])
+        got[native] = sorted((r.threshold, r.doc_id, r["rank"], r.pred_idx, r.gt_idx, r.method) for r in matching.greedy_match(rows).collect())
+    want = [(t, k, n + 1, i, j, how) for t in (0.6, 0.9) for k in "ab" for n, (i, j, _, how) in enumerate(plain.assign(pred[k]["entities"], gold[k]["entities"], t)[0])]
+    assert got[False] == got[True] == sorted(want) != []
 
 
 def test_perfect_and_empty_tables(spark):
@@ -200,6 +205,27 @@ def test_images_and_documents(spark, tmp_path):
     assert [r.page for r in rows] == [1, 2, 3]
     assert rows[0].json.entities[0].text == "one"
     assert rows[2].raw is None and rows[2].error == "unreadable" and "ValueError" in rows[2].traceback
-    sinks.write_documents(pages, out)
-    value = json.loads(spark.read.text(f"{out}/doc_id=d").first().value)
+    assert sinks.write_documents(pages, f"file://{out}") == 1
+    value = json.loads((tmp_path / "docs" / "d.json").read_text())
     assert [p["page"] for p in value] == [1, 2, 3] and value[1]["json"]["entities"][0]["text"] == "two"
+    assert value[1]["n_entities"] == 1 and "n_entities" not in value[2]
+    back = predictions.read_outputs(spark, out).first()
+    assert (back.file, [e.text for e in back.entities]) == ("d.json", ["one", "two"])
+    with pytest.raises(Exception, match="no file name"):
+        sinks.write_files(spark.createDataFrame([("a/b", "")], "name string, value string"), f"file://{out}")
+
+
+def test_a_worker_makes_a_model_once(spark, tmp_path):
+    pages = spark.range(40).selectExpr("cast(id as string) as doc_id", "1 as page", "cast('x' as binary) as content").repartition(10)
+    folder = str(tmp_path)
+
+    def make():
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda content, prompt: str(os.getpid())
+
+    pids = {r.raw for r in images.extract(pages, make, "p").collect()}
+    made = [f.name.split("-")[0] for f in tmp_path.iterdir()]
+    assert set(made) >= pids and len(made) == len(set(made)) <= 8
