@@ -33,7 +33,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import kept, shared_dir, small_batches
+from flowgauge.llm.common import kept, small_batches
+from flowgauge.sources.shared import shared_dir
 
 HEAD, TAIL, INDEX, PAYLOAD = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qQQ"), struct.Struct("<qB")
 NULL_ID, WIDE = 1, 2

@@ -1,14 +1,19 @@
+import os
 import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from flowgauge.llm import quality
 from tests.llm.conftest import ODD
 
+SF = "/root/testdata/sf0.001"
+
 
 def brute(text):
     text = text or ""
@@ -88,3 +93,25 @@ def test_odd_rows(spark, odd_docs):
     assert {r.kept == (not r.base_failed) for r in quality.judge(odd_docs, none).collect()} == {True}
     kept = quality.keep_good(odd_docs, none)
     assert kept.columns == odd_docs.columns and kept.count() == sum(r.kept for r in got)
+
+
+#: The base columns in DuckDB SQL.
+BASE = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+words AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM words),
+keyed AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS n FROM windows),
+covered AS (SELECT doc_id, count(DISTINCT j) AS k FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM keyed WHERE n > 1) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS k FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT, coalesce(l.k, 0), coalesce(c.k, 0), len(w) < 10 OR 100 * coalesce(c.k, 0) > 20 * len(w)
+FROM words LEFT JOIN covered c USING (doc_id) LEFT JOIN lines l USING (doc_id)"""
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_base_columns_as_sql(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = quality.judge(docs, quality.fit(np.zeros((0, len(quality.FEATURES))), np.zeros(0)))
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    assert sorted(tuple(r[k] for k in columns) for r in got.collect()) == sorted(c.execute(BASE).fetchall())
