@@ -4,10 +4,10 @@ A text is the lattice of vocabulary pieces over its characters. Forward Viterbi
 best score from the start to each position, serve as exact heuristics of a backward A* search
 from the end, which so meets whole segmentations from best to worst.
 
-No piece crosses the start of a space or of a line end, so the lattice of a text is a chain
-of word lattices. Each distinct word is searched once; the N-best list of the text follows
-exactly, as one of its N best differs from the best in some of the N - 1 cheapest changes of
-single words.
+No piece crosses the start of a space or of a line end (a model with such pieces is refused),
+so the lattice of a text is a chain of word lattices. Each distinct word is searched once; the
+N-best list of the text follows exactly, as one of its N best differs from the best in some of
+the N - 1 cheapest changes of single words. The memory of a search grows with the longest word.
 
 Characters without a piece become byte pieces at a cost below that of any piece, so decoding
 gives back every text exactly, U+2581 included. Scores are those of the vocabulary file.
@@ -59,6 +59,9 @@ class Lattice:
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         self.byte = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.plain = {self.pieces[i].replace(SPACE, " "): (i, sp.get_score(i)) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+        crossing = [p for p in self.plain if re.search(r"[^ ] |.\n|\n.", p)]
+        if crossing:
+            raise ValueError(f"pieces across the start of a space or a line end, as {crossing[0]!r}: words can't be searched apart")
         self.longest = max(map(len, self.plain))
         # placeholders of the trainer have extreme scores; they are pieces like others but no measure of the cost
         self.lowest = min(s for _, s in self.plain.values() if s > -1e8) - UNKNOWN
