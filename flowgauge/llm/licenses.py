@@ -1,7 +1,7 @@
 """Operator 6: license scans, in DataFrame functions.
 
 Units of a file are compared with template texts, which are headers, titles and opening
-paragraphs of licences, by the cosine of sparse TF-IDF vectors. The weights are those of the
+paragraphs of licences, by the cosine of sparse TF-IDF vectors without stop words. The weights are those of the
 template collection; a term that it lacks weighs as the rarest. Units are the sentences of
 each line, and, for text that is wrapped, those of each run of consecutive lines with a heavy
 term, and runs of at most HEADER characters as a whole; marks of comments count as spaces. A
@@ -67,11 +67,11 @@ TEMPLATES = [
 ]
 #: A license whose text holds that of another, and the other.
 REFINES = {"BSD-3-Clause": "BSD-2-Clause"}
-#: Terms that other text has, too, from less to more common ones; anchors only at need.
-COMMON = "without may can not other so any under all was this or it as an by from for with that are on is at be you a in to and of the".split()
+#: Stop words, which no vector has.
+STOP = "a all an and any are as at be by can do for from he her his i in is it its may my no not of on or other our she so that the their they this to under was we were which with without you your".split()
 THRESHOLD = 0.7
 #: Characters of a run of lines that is also scored as a whole: an opening paragraph isn't longer.
-HEADER = 4000
+HEADER = 1200
 #: Distinct licensed units that may be broadcast (some hundred bytes each).
 BROADCAST_UNITS = 50_000
 TERM = "[^a-z0-9]+"
@@ -84,7 +84,7 @@ class Model:
 
     def __init__(self, templates=TEMPLATES, threshold: float = THRESHOLD):
         self.templates, self.threshold = list(templates), threshold
-        terms = [Counter(t for t in re.split(TERM, text.lower()) if t) for _, text in self.templates]
+        terms = [Counter(t for t in re.split(TERM, text.lower()) if t and t not in STOP) for _, text in self.templates]
         found = Counter(t for c in terms for t in c)
         n = len(terms)
         self.idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in found.items()}
@@ -96,7 +96,7 @@ class Model:
             norm = math.sqrt(sum(x * x for x in w.values()))
             self.weights += [(k, t, x / norm) for t, x in w.items()]
             left = 1.0
-            for t in sorted(w, key=lambda t: (t in COMMON, not t.isalpha(), COMMON.index(t) if t in COMMON else 0, -w[t], t)):
+            for t in sorted(w, key=lambda t: (not t.isalpha(), -w[t], t)):
                 if left < threshold**2 - 1e-9:
                     break
                 self.anchors.add(t)
@@ -134,22 +134,24 @@ def own_licenses(files: DataFrame, model: Model) -> DataFrame:
     """path, license, score of the files with a unit over the threshold; reads the texts once."""
     spark = files.sparkSession
     low = files.select("path", F.lower("text").alias("text")).where(F.col("text").rlike(model.pattern))
-    said = written(low.select("path", F.explode(units(F.col("text"), model.pattern)).alias("unit")), "units")
-    terms = said.select("unit").distinct().select("unit", F.explode(F.split("unit", TERM)).alias("term")).where("term <> ''")
-    counts = terms.groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    said = low.select("path", F.explode(units(F.col("text"), model.pattern)).alias("unit"))
+    said = written(said.select("path", "unit", F.unhex(F.md5("unit")).alias("key")), "units")
+    # equal units are added up before the shuffle: as many times each term, the cosine is the same
+    terms = said.select("key", F.explode(F.split("unit", TERM)).alias("term")).where((F.col("term") != "") & ~F.col("term").isin(STOP))
+    counts = terms.groupBy("key", "term").agg(F.count("*").alias("tf"))
     # the templates are a fixed list: a few hundred rows
     idf = F.broadcast(spark.createDataFrame(sorted(model.idf.items()), "term string, idf double"))
     vectors = F.broadcast(spark.createDataFrame(model.vectors, "term string, vector array<struct<template: int, weight: double>>"))
-    weighed = counts.join(idf, "term", "left").join(vectors, "term", "left").select("unit", (F.col("tf") * F.coalesce("idf", F.lit(model.rare))).alias("w"), "vector")
-    norms = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.select("unit", "w", F.inline("vector")).groupBy("unit", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    weighed = counts.join(idf, "term", "left").join(vectors, "term", "left").select("key", (F.col("tf") * F.coalesce("idf", F.lit(model.rare))).alias("w"), "vector")
+    norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.select("key", "w", F.inline("vector")).groupBy("key", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     names = F.broadcast(spark.createDataFrame([(k, name) for k, (name, _) in enumerate(model.templates)], "template int, license string"))
-    scored = dots.join(norms, "unit").select("unit", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    scored = dots.join(norms, "key").select("key", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     over = scored.where(F.col("score") >= model.threshold).join(names, "template")
-    best = written(over.groupBy("unit", "license").agg(F.max("score").alias("score")), "licensed")
+    best = written(over.groupBy("key", "license").agg(F.max("score").alias("score")), "licensed")
     if best.limit(BROADCAST_UNITS + 1).count() <= BROADCAST_UNITS:
         best = F.broadcast(best)  # else a join that Spark can split where a unit is in very many files
-    found = said.join(best, "unit").groupBy("path", "license").agg(F.max("score").alias("score"))
+    found = said.select("path", "key").join(best, "key").groupBy("path", "license").agg(F.max("score").alias("score"))
     order = F.struct((-F.col("score")).alias("s"), "license")
     refined = F.lit(False)
     for fine, coarse in REFINES.items():
@@ -192,6 +194,7 @@ def oracle(model: Model, files: str) -> str:
     """DuckDB SQL of ``scan`` over ``files``, SQL for (doc_id, path, text)."""
     rows = ", ".join(f"({k}, '{model.templates[k][0]}', '{t}', {w!r}::DOUBLE)" for k, t, w in model.weights)
     idf = ", ".join(f"('{t}', {x!r}::DOUBLE)" for t, x in sorted(model.idf.items()))
+    stop = ", ".join(f"'{t}'" for t in STOP)
     has = lambda x: f"regexp_matches({x}, '{model.pattern}')"
     cut = lambda many: f"flatten(list_transform(list_filter({many}, lambda x: {has('x')}), lambda x: string_split_regex(x, '{SENTENCE}')))"
     refined = " OR ".join(f"license = '{coarse}' AND EXISTS (FROM found g WHERE g.path = f.path AND g.license = '{fine}')" for fine, coarse in REFINES.items())
@@ -205,7 +208,7 @@ lined AS (SELECT path, string_split(lower(text), chr(10)) AS lines FROM files WH
 ran AS (SELECT path, lines, string_split(array_to_string(list_transform(lines, lambda x: CASE WHEN {has("x")} THEN x ELSE chr(1) END), ' '), chr(1)) AS runs FROM lined),
 said AS (SELECT DISTINCT path, unit FROM (SELECT path, unnest(list_concat({cut("lines")}, {cut("runs")}, list_filter(runs, lambda x: length(x) <= {HEADER}))) AS unit FROM ran) WHERE {has("unit")}),
 terms AS (SELECT unit, unnest(string_split_regex(unit, '{TERM}')) AS term FROM (SELECT DISTINCT unit FROM said)),
-counts AS (SELECT unit, term, count(*) AS tf FROM terms WHERE term <> '' GROUP BY ALL),
+counts AS (SELECT unit, term, count(*) AS tf FROM terms WHERE term <> '' AND term NOT IN ({stop}) GROUP BY ALL),
 weighed AS (SELECT unit, c.term, tf * coalesce(idf, {model.rare!r}::DOUBLE) AS w FROM counts c LEFT JOIN idfs i ON c.term = i.term),
 norms AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY 1),
 dots AS (SELECT unit, template, license, sum(w * weight) AS dot FROM weighed JOIN vectors USING (term) GROUP BY ALL),

@@ -59,7 +59,7 @@ HEADERS = {
 
 def cosines(model, statement):
     """All templates, without the search for heavy terms."""
-    tf = Counter(t for t in re.split(licenses.TERM, statement) if t)
+    tf = Counter(t for t in re.split(licenses.TERM, statement) if t and t not in licenses.STOP)
     w = {t: n * model.idf.get(t, model.rare) for t, n in tf.items()}
     norm = math.sqrt(sum(x * x for x in w.values()))
     out = {}
