@@ -136,17 +136,19 @@ def own_licenses(files: DataFrame, model: Model) -> DataFrame:
     low = files.select("path", F.lower("text").alias("text")).where(F.col("text").rlike(model.pattern))
     said = low.select("path", F.explode(units(F.col("text"), model.pattern)).alias("unit"))
     said = written(said.select("path", "unit", F.unhex(F.md5("unit")).alias("key")), "units")
-    # equal units are added up before the shuffle: as many times each term, the cosine is the same
-    terms = said.select("key", F.explode(F.split("unit", TERM)).alias("term")).where((F.col("term") != "") & ~F.col("term").isin(STOP))
-    counts = terms.groupBy("key", "term").agg(F.count("*").alias("tf"))
+    # a unit's vector and norm are made in its row; only its terms that a template has go on
+    idf = F.create_map(*(F.lit(x) for pair in sorted(model.idf.items()) for x in pair))
+    terms = F.filter(F.split("unit", TERM), lambda t: (t != "") & ~t.isin(STOP))
+    weight = lambda t: F.size(F.filter("terms", lambda x: x == t)) * F.coalesce(F.try_element_at(idf, t), F.lit(model.rare))
+    vector = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), weight(t).alias("w")))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    rows = said.select("key", terms.alias("terms")).select("key", vector.alias("vector")).select("key", norm.alias("norm"), F.inline("vector"))
     # the templates are a fixed list: a few hundred rows
-    idf = F.broadcast(spark.createDataFrame(sorted(model.idf.items()), "term string, idf double"))
     vectors = F.broadcast(spark.createDataFrame(model.vectors, "term string, vector array<struct<template: int, weight: double>>"))
-    weighed = counts.join(idf, "term", "left").join(vectors, "term", "left").select("key", (F.col("tf") * F.coalesce("idf", F.lit(model.rare))).alias("w"), "vector")
-    norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.select("key", "w", F.inline("vector")).groupBy("key", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    known = rows.where(F.col("term").isin(sorted(model.idf))).distinct()
+    dots = known.join(vectors, "term").select("key", "norm", "w", F.inline("vector")).groupBy("key", "norm", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     names = F.broadcast(spark.createDataFrame([(k, name) for k, (name, _) in enumerate(model.templates)], "template int, license string"))
-    scored = dots.join(norms, "key").select("key", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    scored = dots.select("key", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     over = scored.where(F.col("score") >= model.threshold).join(names, "template")
     best = written(over.groupBy("key", "license").agg(F.max("score").alias("score")), "licensed")
     if best.limit(BROADCAST_UNITS + 1).count() <= BROADCAST_UNITS:
