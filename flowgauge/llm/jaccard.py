@@ -28,13 +28,14 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import map_rows, small_batches, written
+from flowgauge.llm.common import delete, map_rows, small_batches, written, written_at
 from flowgauge.llm.graph import connected_components
 
 #: N-grams of a block of a cluster: bounds what a task holds.
@@ -44,6 +45,8 @@ PIVOTS = 16
 #: Signatures, and documents, that a task pools before it gives them on: a signature that very
 #: many sets have counts once for so many, which bounds the rows of one signature that meet.
 POOL, POOL_ROWS = 1_000_000, 50_000
+#: Parts in which signatures are shuffled, one after the other, and the n-grams that are worth a part.
+PARTS, PART_GRAMS = 4, 1_000_000
 #: Ids that may be broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Sets of which a task remembers that it has signed them (some 100 bytes each).
@@ -208,14 +211,23 @@ def signed_sets(docs: DataFrame, n: int, percent: int, pool: int = POOL) -> Data
 def candidate_edges(signed: DataFrame) -> DataFrame:
     """(a, b): classes that share a signature, each linked with the smallest class of it or with
     the one that held it in its pool. Classes that share too few signatures to have a partner are
-    left out first, but for those that hold a signature for one that stays."""
-    rows = signed.select("h1", F.inline("signs"))
+    left out first, but for those that hold a signature for one that stays. Signatures meet in
+    parts by their value, so no more than a part of them is in shuffle files at a time."""
+    spark, rows = signed.sparkSession, signed.select("h1", F.inline("signs"))
     by_sig = Window.partitionBy("sig")  # at most one row of a signature for each pool
-    met = rows.where("peer is null").select("*", F.min("h1").over(by_sig).alias("lo"), F.max("h1").over(by_sig).alias("hi")).where("held or lo <> hi")
     columns = ["h1", "rule", "sig", "peer"]
-    shared = written(met.select(columns).union(rows.where("peer is not null").select(columns)), "shared")
+    grams = signed.agg(F.sum("n_shingles")).head()[0] or 0
+    parts = min(PARTS, max(1, -(-grams // PART_GRAMS)))
+    tables = [written_at(rows.where("peer is not null").select(columns), "shared")]
+    for k in range(parts):
+        part = rows.where("peer is null").where(F.pmod("sig", F.lit(parts)) == k)
+        met = part.select("*", F.min("h1").over(by_sig).alias("lo"), F.max("h1").over(by_sig).alias("hi")).where("held or lo <> hi")
+        tables.append(written_at(met.select(columns), "shared"))
+    shared = reduce(DataFrame.union, [t for t, _ in tables])
     able = shared.groupBy("h1", "rule").agg(F.count("*").alias("n")).where("n >= rule div 2").select("h1", "rule")
     enough = written(shared.join(able, ["h1", "rule"], "left_semi").select("h1", "sig", "peer"), "enough")
+    for _, old in tables:
+        delete(spark, old)
     hubs = enough.where("peer is not null").select(F.col("peer").alias("h1"), "sig").distinct()
     open_ = enough.where("peer is null").select("h1", "sig").union(hubs)
     least = open_.groupBy("sig").agg(F.min("h1").alias("b"))
@@ -492,8 +504,11 @@ def verified_edges(docs: DataFrame, members: DataFrame, n: int, percent: int, bl
 
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, block: int = BLOCK, pool: int = POOL) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
-    signed = written(signed_sets(docs, n, percent, pool), "signed")
-    clusters = written(connected_components(candidate_edges(signed), "clusters"), "clusters")
+    full, signed_at = written_at(signed_sets(docs, n, percent, pool), "signed")
+    edges = candidate_edges(full)
+    signed = written(full.drop("signs"), "signed")  # signatures are needed no more
+    delete(docs.sparkSession, signed_at)
+    clusters = written(connected_components(edges, "clusters"), "clusters")
     classes = signed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size"), F.count("*").alias("rows"))
     inside = classes.join(clusters.withColumnsRenamed({"node": "h1", "root": "cluster"}), "h1")
     total = inside.groupBy("cluster").agg(F.ceil(F.sum("size") / block).alias("blocks"))

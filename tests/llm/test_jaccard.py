@@ -1,11 +1,12 @@
 import random
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from flowgauge.llm import graph, jaccard
+from flowgauge.llm import common, graph, jaccard
 from tests.llm.conftest import ODD, brute_components
 
 
@@ -201,3 +202,34 @@ def test_components(spark, small):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long"), small=small).count() == 0
     keys = spark.createDataFrame([(b"\x80x", b"a"), (b"a", b"\xff"), (b"q", b"r")], "a binary, b binary")
     assert {bytes(r.node): bytes(r.root) for r in graph.connected_components(keys, small=small).collect()} == {b"\x80x": b"a", b"a": b"a", b"\xff": b"a", b"q": b"q", b"r": b"q"}
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(k).getName() for k in range(found.size()) if found.apply(k).getName().startswith("shuffle_")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before, kept = shuffle_files(spark), spark.conf.get(common.CLEANUP)
+    table = common.written(spark.range(1000).repartition(3, "id"), "test")
+    end = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before and spark.conf.get(common.CLEANUP) == kept
+    assert table.count() == 1000
+
+
+def test_signatures_meet_in_parts(spark, monkeypatch):
+    """Parts of about the same size, whose links are all links; the table of all signatures goes."""
+    tables, gone = [], []
+    write, drop = jaccard.written_at, jaccard.delete
+    monkeypatch.setattr(jaccard, "PART_GRAMS", 100)
+    monkeypatch.setattr(jaccard, "written_at", lambda df, name: tables.append((name, *write(df, name))) or tables[-1][1:])
+    monkeypatch.setattr(jaccard, "delete", lambda session, folder: gone.append(folder) or drop(session, folder))
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(400)]
+    texts = [rng.choices(words, k=40) for _ in range(12)]
+    rows = [(k, " ".join([*texts[k % 12][: 40 - k % 3], *["new"] * (k % 3)])) for k in range(60)]
+    check(spark, rows, 3, 80, pool=1)
+    assert [name for name, *_ in tables] == ["signed"] + ["shared"] * (1 + jaccard.PARTS)
+    assert sorted(gone) == sorted(folder for *_, folder in tables)
