@@ -23,10 +23,10 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import compress, repeat
-from operator import is_
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +44,11 @@ WORDS = re.compile(r" *[^ \n▁]+|\n|▁| +")
 #: Letters, and digits that aren't decimal ones.
 LETTER = re.compile(r"[^\W\d_]")
 N_BEST = 4
-#: What a look-up gives for a text that begins no piece.
-NONE = object()
+#: Characters of the words whose searches are remembered (some hundred bytes each).
+SEARCHED = 40_000
+#: The node of a trie below which there is nothing, and what a look-up gives for a character that begins no piece.
+LEAF: dict = {}
+NONE = (LEAF, None)
 
 
 class Lattice:
@@ -68,8 +71,13 @@ class Lattice:
         back = {i: b for b, i in self.byte.items()}
         self.raw = [bytes([back[i]]) if i in back else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.prefixes = {p[:k] for p in self.plain for k in range(1, len(p) + 1)}
-        #: Score of each prefix that is a piece, None of those that only begin one.
-        self.walk = {p: self.plain[p][1] if p in self.plain else None for p in self.prefixes}
+        #: A trie of the pieces: by character, the nodes below and the score (None of those that only begin a piece).
+        self.walk: dict[str, tuple[dict, float | None]] = {}
+        nodes = {"": self.walk}
+        branch = {p[:-1] for p in self.prefixes}
+        for p in sorted(self.prefixes, key=len):
+            kids = nodes[p] = {} if p in branch else LEAF
+            nodes[p[:-1]][p[-1]] = kids, self.plain[p][1] if p in self.plain else None
         # marks, each but behind letters (of the class below) that some piece has before it: a word ends there as far as pieces go
         joined = {m: sorted({a for p in self.plain for a, b in zip(p, p[1:], strict=False) if b == m and LETTER.match(a)}) for m in ".,!?;:|)"}
         marks = "|".join((f"(?<![{re.escape(''.join(a))}])" if a else "") + re.escape(m) for m, a in joined.items())
@@ -118,44 +126,39 @@ class Lattice:
                 heapq.heappush(todo, (-(done + s + best[i]), i, count, done + s, (own, path)))
 
     def best(self, word: str) -> tuple[float, tuple[int, ...], float]:
-        """The best score, its ids, and by how much the second best falls short.
-
-        Any other segmentation takes an edge that the best one doesn't; the best path over an
-        edge is its score between the forward and the backward Viterbi score of its ends.
-        """
+        """The best score, its ids, and by how much the second best falls short: a forward Viterbi
+        that carries the two best scores to each position."""
         if word == SPACE:  # a character like others, but the vocabulary's sign for a space
             return self.lowest, tuple(self.byte[b] for b in word.encode()), math.inf
-        walk, n, low, lowest = self.walk.get, len(word), -math.inf, self.lowest
-        fore, via = [0.0] + [low] * n, [0] * (n + 1)
-        edges: list[tuple[int, int, float]] = []  # by start, so all that reaches a start is there
-        add, last, k = edges.append, n + 1, 0
+        root, n, low, lowest, reach = self.walk, len(word), -math.inf, self.lowest, self.longest
+        fore, next_, via = [0.0] + [low] * n, [low] * (n + 1), [0] * (n + 1)
         for i in range(n):
-            here = fore[i]
-            j = i + 1
-            s = first = walk(word[i], NONE)
-            if s is None or s is NONE:
-                s = lowest
-            if here + s > fore[j]:
-                fore[j], via[j] = here + s, k
-            add((i, j, s))
-            k += 1
-            if first is not NONE:
-                for j in range(i + 2, last):
-                    s = walk(word[i:j], NONE)
-                    if s is None:
-                        continue
-                    if s is NONE:
+            here, second = fore[i], next_[i]
+            kids, s = root.get(word[i], NONE)
+            j, t = i + 1, here + (lowest if s is None else s)
+            if t > fore[j]:
+                old, other = fore[j], second + (lowest if s is None else s)
+                fore[j], via[j], next_[j] = t, i, old if old > other else other
+            elif t > next_[j]:
+                next_[j] = t
+            if kids:
+                for c in word[j : i + reach]:
+                    j += 1
+                    got = kids.get(c)
+                    if got is None:
                         break
-                    if here + s > fore[j]:
-                        fore[j], via[j] = here + s, k
-                    add((i, j, s))
-                    k += 1
+                    kids, s = got
+                    if s is not None:
+                        t = here + s
+                        if t > fore[j]:
+                            old, other = fore[j], second + s
+                            fore[j], via[j], next_[j] = t, i, old if old > other else other
+                        elif t > next_[j]:
+                            next_[j] = t
         ids: list[int] = []
-        on, j, plain = set(), n, self.plain.get
+        j, plain = n, self.plain.get
         while j:
-            k = via[j]
-            on.add(k)
-            i = edges[k][0]
+            i = via[j]
             got = plain(word[i:j])
             if got:
                 ids.append(got[0])
@@ -163,15 +166,7 @@ class Lattice:
                 ids += [self.byte[b] for b in reversed(word[i:j].encode())]
             j = i
         ids.reverse()
-        back, second, k = [low] * n + [0.0], low, len(edges)
-        for i, j, s in reversed(edges):
-            k -= 1
-            s += back[j]
-            if s > back[i]:
-                back[i] = s
-            if fore[i] + s > second and k not in on:
-                second = fore[i] + s
-        return fore[n], tuple(ids), fore[n] - second
+        return fore[n], tuple(ids), fore[n] - next_[n]
 
     def decode(self, ids) -> str:
         """The text of ids; the space that encoding puts first goes again."""
@@ -223,10 +218,11 @@ def _cost(words) -> int:
 class Encoder:
     """Encodes texts; what it knows of words is kept in arrays of bounded size."""
 
-    def __init__(self, model: str, n_best: int = N_BEST):
-        self.lattice, self.n = Lattice(model), n_best
+    def __init__(self, model: str, n_best: int = N_BEST, cache: int | None = None):
+        self.lattice, self.n, self.cache = Lattice(model), n_best, CACHE if cache is None else cache
         self.at: dict[str, int] = {}
         self.searches: dict[str, Found] = {}
+        self.searched = 0
         self._empty()
 
     def _empty(self) -> None:
@@ -237,17 +233,17 @@ class Encoder:
 
     def _places(self, words: list[str]) -> np.ndarray:
         """The place of each word in the arrays."""
-        found = list(map(self.at.get, words))
-        if None in found:
-            new = set(compress(words, map(is_, found, repeat(None))))
-            if self.held + 2 * _cost(new) > CACHE:  # a word may bring its letters along
+        idx = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        lack = np.flatnonzero(idx < 0).tolist()
+        if lack:
+            new = {words[k] for k in lack}
+            if self.held + 2 * _cost(new) > self.cache:  # a word may bring its letters along
                 self._forget(set(words))
-                new = set(words).difference(self.at)
+                new, lack = set(words).difference(self.at), range(len(words))
             for w in new:
                 if w not in self.at:  # it may have come with another word
                     self._add(w)
-            found = list(map(self.at.__getitem__, words))
-        idx = np.array(found, np.int64)
+            idx[lack] = [self.at[words[k]] for k in lack]
         self.hits[idx] = np.minimum(self.hits[idx] + 1, 2)
         return idx
 
@@ -283,19 +279,27 @@ class Encoder:
     def _forget(self, now: set[str]) -> None:
         """Keep words of this text, and those seen in two texts or more since the last time, if they are few."""
         kept = [(w, k) for w, k in self.at.items() if self.hits[k] > 1 or w in now]
-        if _cost(w for w, _ in kept) > CACHE // 2:
+        if _cost(w for w, _ in kept) > self.cache // 2:
             kept = [(w, k) for w, k in kept if w in now]
-        rows = [(w, self.score[k], self.gap[k], self._own(k)) for w, k in kept]
-        self.at = {}
-        self._empty()
-        for row in rows:
-            self._put(*row)
+        words, at = [w for w, _ in kept], np.array([k for _, k in kept], np.int64)
+        del kept
+        size = self.size[at]
+        ends = np.cumsum(size)
+        self.ids = self.ids[np.repeat(self.start[at] - ends + size, size) + np.arange(size.sum())]
+        self.score, self.gap, self.hits, self.start, self.size = self.score[at], self.gap[at], np.zeros(len(at), np.int8), ends - size, size
+        self.used, self.held = len(self.ids), _cost(words)
+        self.at = dict(zip(words, range(len(words)), strict=True))
+        for name in ("score", "gap", "hits", "start", "size", "ids"):  # room to grow by doubling
+            x = getattr(self, name)
+            setattr(self, name, np.concatenate([x, np.zeros(max(1024, len(x) // 4), x.dtype)]))
 
     def search(self, word: str) -> Found:
-        if len(self.searches) > 20_000:
-            self.searches.clear()
         got = self.searches.get(word)
         if got is None:
+            self.searched += len(word)
+            if self.searched > SEARCHED:
+                self.searches.clear()
+                self.searched = len(word)
             got = self.searches[word] = Found(self.lattice, word)
         return got
 
@@ -341,24 +345,36 @@ class Encoder:
         return out, changed
 
 
-def encoder(model: str, n_best: int) -> Encoder:
+def encoder(model: str, n_best: int, cache: int | None = None) -> Encoder:
     """A Python worker keeps what it knows of words from task to task."""
-    return kept(("pieces", model, n_best), lambda: Encoder(model, n_best))
+    return kept(("pieces", model, n_best, cache), lambda: Encoder(model, n_best, cache))
 
 
-def n_best_pieces(docs: DataFrame, model: str, n_best: int = N_BEST) -> DataFrame:
-    """doc_id and ``nbest``, an array of (score, ids), best first."""
+def segmentations(got: list[list[tuple[float, bytes]]]) -> pa.Array:
+    """Arrays of (score, ids), built from the bytes of the ids."""
+    flat = [x for row in got for x in row]
+    ids = pa.Array.from_buffers(pa.int32(), sum(len(b) for _, b in flat) // 4, [None, pa.py_buffer(b"".join(b for _, b in flat))])
+    ends = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
+    lists = pa.ListArray.from_arrays(ends(len(b) // 4 for _, b in flat), ids)
+    rows = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.float64()), lists], ["score", "ids"])
+    return pa.ListArray.from_arrays(ends(map(len, got)), rows)
+
+
+def n_best_pieces(docs: DataFrame, model: str, n_best: int = N_BEST, cache: int | None = None) -> DataFrame:
+    """doc_id, ``nbest``, an array of (score, ids), best first, and whether all of them decode to the
+    text (``exact``)."""
 
     def make():
-        enc = encoder(model, n_best)
+        enc = encoder(model, n_best, cache)
 
         def step(cols):
             got = [enc.encode(t)[0] for t in cols["text"]]
-            return {"doc_id": cols["doc_id"], "nbest": [[{"score": s, "ids": np.frombuffer(b, "<u4").astype(np.int32)} for s, b in x] for x in got]}
+            exact = [gives_back(enc.lattice, x, (" " + t).encode() if t else b"") for x, t in zip(got, cols["text"], strict=True)]
+            return {"doc_id": cols["doc_id"], "nbest": segmentations(got), "exact": exact}
 
         return step
 
-    return map_rows(_rows(docs), "doc_id long, nbest array<struct<score: double, ids: array<int>>>", make)
+    return map_rows(_rows(docs), "doc_id long, nbest array<struct<score: double, ids: array<int>>>, exact boolean", make)
 
 
 def decoded(ids: DataFrame, model: str) -> DataFrame:

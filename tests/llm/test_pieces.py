@@ -74,6 +74,16 @@ def test_forgetting(enc, pieces_model, monkeypatch):
         assert small.encode(text) == enc.encode(text)
 
 
+def test_memory_of_words_and_searches(pieces_model):
+    """What an encoder remembers is bounded in bytes of words, and in characters of searched words."""
+    enc, whole = pieces.Encoder(pieces_model, cache=300_000), pieces.Encoder(pieces_model)
+    for k in range(400):
+        text = " ".join(f"{'long' * 30}{k}x{j}" for j in range(8))
+        assert enc.encode(text) == whole.encode(text)
+        assert enc.held <= 300_000 and sum(map(len, enc.searches)) <= pieces.SEARCHED
+        assert enc.held == sum(pieces.ENTRY + pieces.CHARACTER * len(w) for w in enc.at)
+
+
 def test_whole_texts_are_decoded(spark, pieces_model, monkeypatch):
     """Ids of a best segmentation that don't give back the text are told."""
 

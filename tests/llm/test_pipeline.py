@@ -51,6 +51,18 @@ def test_stages(spark, steps):
         assert enc.lattice.decode(r.ids) == texts[r.doc_id]
 
 
+def test_n_best_segmentations(steps):
+    """The last stage does the whole operator: N-best lists, each decoded again."""
+    enc, texts = pieces.Encoder(PIECES), {r.doc_id: r.text for r in steps[0].collect()}
+    rows = steps[-1].collect()
+    assert max(len(r.nbest) for r in rows) == pieces.N_BEST
+    for r in rows:
+        want = enc.encode(texts[r.doc_id])[0]
+        assert [s.score for s in r.nbest] == pytest.approx([s for s, _ in want])
+        assert [s.ids for s in r.nbest] == [np.frombuffer(b, "<u4").tolist() for _, b in want]
+        assert r.ids == r.nbest[0].ids and r.exact and {enc.lattice.decode(s.ids) for s in r.nbest} == {texts[r.doc_id]}
+
+
 def test_clean_documents_stay(spark, steps):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     kept = ids(steps[2])
