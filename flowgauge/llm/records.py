@@ -114,7 +114,10 @@ class WordEncoder:
         )
         self.wide = self.tok.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.line_end = self.tok.encode("\n", add_special_tokens=False).ids[0] if self.by_word else None
+        #: Of each id, whether its token begins with a space: so does the first of a word, and no other of it has one.
+        vocab = self.tok.get_vocab()
+        self.starts = np.zeros(max(vocab.values()) + 1, bool)
+        self.starts[[k for t, k in vocab.items() if t.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}  # ids of a space or line end and the word
         self.held = 0
 
@@ -123,14 +126,14 @@ class WordEncoder:
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words with the white space before them: those behind spaces in long lines, cut
-        at the id of the line ends between them again."""
+        again at the ids that begin with a space."""
         plain = [w for w in words if w[0] != "\n"]
         lines = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
         size, out = self.kind.itemsize, {}
-        for line, e in zip(lines, self.tok.encode_batch_fast([" " + "\n ".join(x) for x in lines], add_special_tokens=False), strict=True):
+        for line, e in zip(lines, self.tok.encode_batch_fast([" " + " ".join(x) for x in lines], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.kind)
-            data, cuts = ids.tobytes(), (np.flatnonzero(ids == self.line_end) * size).tolist()
-            out.update(zip(line, map(data.__getitem__, map(slice, [0, *(c + size for c in cuts)], [*cuts, len(data)])), strict=True))
+            data, cuts = ids.tobytes(), (np.flatnonzero(self.starts[ids]) * size).tolist()
+            out.update(zip(line, map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)])), strict=True))
         rest = [w for w in words if w[0] == "\n"]
         out.update(zip(rest, self._many(rest), strict=True))
         return out

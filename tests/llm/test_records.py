@@ -49,6 +49,17 @@ def test_words_as_whole(enc, texts):
     assert [x.tolist() for x in enc.encode(texts)] == want
 
 
+def test_words_alone_go_to_the_library(bpe, monkeypatch):
+    """New words are encoded in lines without a line end for each, and cut as the library cuts them alone."""
+    enc, sent = records.WordEncoder(bpe), []
+    many = enc.tok.encode_batch_fast
+    enc.tok = type("Tok", (), {"encode_batch_fast": lambda _, texts, **k: sent.extend(texts) or many(texts, **k)})()
+    words = [f"w{k}'s" for k in range(1500)] + ["Ġ", "ĠĠa", "'s", "日本", "\U0001f600", "1,5", "ĊĠ", "é"]
+    got = enc._words(words)
+    assert len(sent) == 2 and not any("\n" in x for x in sent)
+    assert got == {w: np.array(e.ids, enc.kind).tobytes() for w, e in zip(words, many([f" {w}" for w in words], add_special_tokens=False), strict=True)}
+
+
 def test_special_tokens(bpe, enc, monkeypatch):
     """By default as the plain call of the library, whose ids for them are special; else spelled out."""
     from tokenizers import Tokenizer
