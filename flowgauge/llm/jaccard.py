@@ -218,11 +218,12 @@ def candidate_edges(signed: DataFrame) -> DataFrame:
     columns = ["h1", "rule", "sig", "peer"]
     grams = signed.agg(F.sum("n_shingles")).head()[0] or 0
     parts = min(PARTS, max(1, -(-grams // PART_GRAMS)))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // parts)  # as large as without parts, so no more files
     tables = [written_at(rows.where("peer is not null").select(columns), "shared")]
     for k in range(parts):
         part = rows.where("peer is null").where(F.pmod("sig", F.lit(parts)) == k)
         met = part.select("*", F.min("h1").over(by_sig).alias("lo"), F.max("h1").over(by_sig).alias("hi")).where("held or lo <> hi")
-        tables.append(written_at(met.select(columns), "shared"))
+        tables.append(written_at(met.select(columns).coalesce(tasks), "shared"))
     shared = reduce(DataFrame.union, [t for t, _ in tables])
     able = shared.groupBy("h1", "rule").agg(F.count("*").alias("n")).where("n >= rule div 2").select("h1", "rule")
     enough = written(shared.join(able, ["h1", "rule"], "left_semi").select("h1", "sig", "peer"), "enough")
