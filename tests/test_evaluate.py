@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +124,30 @@ def test_greedy_as_plain(spark):
     assert got[False] == got[True] == sorted(want) != []
 
 
+def test_greedy_by_text_as_pairs(spark):
+    """The same rows as from all pairs, with ties between texts, missing types and further keys."""
+    rng = random.Random(8)
+    pred, gold = ({k: random_graph(rng, 40) for k in "abc"} for _ in range(2))
+    p, g = (matching.entity_rows(docs(spark, x)).withColumn("v", F.lit("x")) for x in (pred, gold))
+    keys = ["doc_id", "v"]
+    for memo in (False, True):
+        known = matching.text_pairs(p, g, 0.6, keys, keywords.token_keywords, memo)
+        pairs = matching.matches(p, g, known, [0.6, 0.9], keys)
+        cols = ["threshold", *keys, "rank", "pred_idx", "gt_idx", "pred_id", "gt_id", "score", "method"]
+        got, want = (sorted(map(tuple, x.select(*cols).collect())) for x in (matching.greedy_by_text(p, g, known, [0.6, 0.9], keys), matching.greedy_match(pairs, keys)))
+        assert got == want != []
+
+
+def test_greedy_makes_no_pairs(spark):
+    """Of 40,000 entities with two texts no 10^8 pairs are made: that took minutes."""
+    row = lambda side: spark.range(40000).selectExpr("'d' AS doc_id", "'A' AS type", "cast(id AS int) AS idx", f"concat('{side}', id) AS id", "if(id % 2 = 0, 'filter plaatsen', 'filter plaatsten') AS text")
+    p, g = row("p"), row("g")
+    start = time.monotonic()
+    got = matching.greedy_by_text(p, g, matching.text_pairs(p, g, 0.7, memo=True), [0.7])
+    assert got.where("pred_idx = gt_idx and rank = pred_idx + 1").count() == 40000
+    assert time.monotonic() - start < 60
+
+
 def test_perfect_and_empty_tables(spark):
     same = evaluate(docs(spark, {"d": GOLD}), docs(spark, {"d": GOLD}))
     assert all(r.f1 == 1.0 for r in same.per_doc.collect())
