@@ -148,6 +148,13 @@ def test_greedy_makes_no_pairs(spark):
     assert time.monotonic() - start < 60
 
 
+def test_texts_are_not_broadcast(spark):
+    """A small file may hold many texts, which fill the driver when broadcast."""
+    rows = spark.range(6).selectExpr("concat('d', id % 2) AS doc_id", "concat('A', id % 2) AS type", "cast(id AS int) AS idx", "string(id) AS id", "concat('klep ', id) AS text")
+    taken = matching.greedy_by_text(rows, rows, matching.text_pairs(rows, rows, 0.7), [0.7])
+    assert "BroadcastExchange" not in taken._jdf.queryExecution().executedPlan().toString()
+
+
 def test_perfect_and_empty_tables(spark):
     same = evaluate(docs(spark, {"d": GOLD}), docs(spark, {"d": GOLD}))
     assert all(r.f1 == 1.0 for r in same.per_doc.collect())
