@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowgauge import cli
 from flowgauge.functions import keywords
-from flowgauge.operators import matching
+from flowgauge.operators import matching, relations
 from flowgauge.plans.compare import compare
 from flowgauge.plans.evaluate import SENSITIVITY, Options, evaluate, result_document
 from flowgauge.sources import images, predictions, sinks
@@ -155,6 +155,32 @@ def test_texts_are_not_broadcast(spark):
     assert "BroadcastExchange" not in taken._jdf.queryExecution().executedPlan().toString()
 
 
+def test_orders_as_listed_edges(spark):
+    """Hits and numbers of edges that orders stand for, as of the same edges listed; ends map many to one, too."""
+    rng = random.Random(9)
+    sides = [[(d, rng.choice("xyz"), k, f"{side}{k}", rng.randrange(3)) for d in "ab" for k in rng.sample(range(90), 30)] for side in "pg"]
+    pred, gold = (spark.createDataFrame(x, "doc_id string, block string, position long, id string, times int") for x in sides)
+    maps = [(t, p[0], p[3], rng.choice([g[3] for g in sides[1] if g[0] == p[0]])) for t in (0.6, 0.9) for p in sides[0] if rng.random() < 0.8]
+    ends = spark.createDataFrame([*maps, (0.6, "a", "p1", None)], "threshold double, doc_id string, pred_id string, gt_id string")
+
+    def listed(order):
+        later = order.selectExpr("doc_id", "block", "position AS l", "id AS source", "explode(array_repeat(1, times)) AS _")
+        return later.join(order.selectExpr("doc_id", "block", "position AS e", "id AS target"), ["doc_id", "block"]).where("l > e").selectExpr("doc_id", "source", "target", "'x' AS type")
+
+    got = sorted(map(tuple, relations.order_hits(pred, gold, ends).collect()))
+    want = relations.relation_hits(listed(pred), listed(gold.withColumn("times", F.lit(1))), ends)
+    assert got == sorted(map(tuple, want.collect())) != []
+    assert sorted(map(tuple, relations.order_sizes(pred).collect())) == sorted(map(tuple, listed(pred).groupBy("doc_id").count().collect()))
+
+
+def test_orders_make_no_edges(spark):
+    """100,000 members stand for 5 * 10^9 edges, all of them hits."""
+    pred = spark.range(100000).selectExpr("'d' AS doc_id", "'x' AS block", "id AS position", "string(id) AS id", "1 AS times")
+    ends = pred.selectExpr("0.7D AS threshold", "doc_id", "id AS pred_id", "id AS gt_id")
+    assert relations.order_hits(pred, pred, ends).collect() == [(0.7, "d", 100000 * 99999 // 2)]
+    assert relations.order_sizes(pred).collect() == [("d", 100000 * 99999 // 2)]
+
+
 def test_perfect_and_empty_tables(spark):
     same = evaluate(docs(spark, {"d": GOLD}), docs(spark, {"d": GOLD}))
     assert all(r.f1 == 1.0 for r in same.per_doc.collect())
